@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["events_and_graph"]
+MODULES = ["events_and_graph", "profiles", "time"]
 
 
 def _load() -> None:
