@@ -74,28 +74,40 @@ def running_totals(df: DataFrame, order: list, sums: dict[str, str]) -> DataFram
     return out.select(*df.columns, *sums.values())
 
 
-def exact_quantiles(df: DataFrame, column: str, points: dict[str, float]) -> DataFrame:
-    """One row of linearly interpolated quantiles, ``{name: q}``; nulls are ignored.
+def exact_quantiles(df: DataFrame, columns: list[str], points: dict[str, float]) -> DataFrame:
+    """One row per column (``field``) with linearly interpolated quantiles ``{name: q}``.
 
-    Equal values are counted before the shuffle and the counts are ranked by
-    chunk, so a column of any size or skew is handled without one big task.
+    Nulls are ignored; a column without values has no row. Equal values are counted
+    before the shuffle and the counts are ranked by chunk, so a column of any size
+    or skew is handled without one big task.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v"))
-    ranked = running_totals(counts.agg(F.count("*").alias("_n")), ["_v"], {"_n": "_upto"})
-    total = ranked.agg(F.max("_upto")).first()[0]
-    if not total:
-        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(p) for p in points])
+    values = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("_v")) for c in columns
+    ]))
+    counts = (
+        df.select(values.alias("e")).select("e.*").filter("_v is not null")
+        .groupBy("field", "_v").agg(F.count("*").alias("_n"))
+    )
+    ranked = running_totals(counts, ["field", "_v"], {"_n": "_upto"})
+    spans = ranked.groupBy("field").agg(
+        F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.max("_upto").alias("_end")
+    )
+    # One row per column name.
+    placed = ranked.join(F.broadcast(spans), "field").withColumn("_upto", F.col("_upto") - F.col("_start"))
+    last = F.col("_end") - F.col("_start") - 1
 
-    def at(rank: int) -> Column:
-        return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_v")))
+    def at(rank: Column) -> Column:
+        inside = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
+        return F.max(F.when(inside, F.col("_v")))
 
     picks = []
     for name, q in points.items():
-        place = q * (total - 1)
-        low = int(place)
-        high = min(low + 1, total - 1)
-        picks.append((at(low) + (at(high) - at(low)) * F.lit(place - low)).alias(name))
-    return ranked.agg(*picks)
+        place = F.lit(float(q)) * last
+        low = F.floor(place)
+        high = F.least(low + 1, last)
+        share = F.max(place - low)
+        picks.append((at(low) + (at(high) - at(low)) * share).alias(name))
+    return placed.groupBy("field").agg(*picks)
 
 
 def ordered_halves(df: DataFrame, order: list, name: str = "half") -> DataFrame:

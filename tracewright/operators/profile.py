@@ -28,17 +28,18 @@ def count_tables(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs.alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("count"))
 
 
-def numeric_summary(df: DataFrame, column: str) -> DataFrame:
-    """Min, max, mean, median and p95 (interpolated); zeros for an empty table."""
-    ends = df.agg(
-        F.min(column).cast("double").alias("min"), F.max(column).cast("double").alias("max"),
-        F.avg(column).alias("mean"),
-    ).first()
-    middle = exact_quantiles(df, column, {"median": 0.5, "p95": 0.95})
-    return middle.select(
-        F.lit(column).alias("field"),
-        *[F.lit(ends[c] or 0.0).cast("double").alias(c) for c in ("min", "max", "mean")],
-        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("median", "p95")],
+def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Min, max, mean, median and p95 (interpolated) per column; zeros for an empty one."""
+    ends = df.agg(*[
+        F.struct(
+            F.lit(c).alias("field"), F.min(c).cast("double").alias("min"),
+            F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"),
+        ).alias(c)
+        for c in columns
+    ]).select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("s")).select("s.*")
+    middle = exact_quantiles(df, columns, {"median": 0.5, "p95": 0.95})
+    return ends.join(middle, "field", "left").select(
+        "field", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("min", "max", "mean", "median", "p95")]
     )
 
 
@@ -69,7 +70,7 @@ def basic_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.countDistinct("edge_id").alias("unique_edge_ids"),
     )
     return e.select(
-        F.lit(n["node_rows"]).alias("node_rows"), F.lit(n["unique_node_ids"]).alias("unique_node_ids"),
+        *[F.lit(n[c]).cast("bigint").alias(c) for c in ("node_rows", "unique_node_ids")],
         "edge_rows", "unique_edge_ids", "valid_edge_rows", "invalid_edge_rows",
     )
 
@@ -97,12 +98,7 @@ def ranked_degrees(degrees: DataFrame, k: int = 25) -> DataFrame:
 
 
 def degree_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    degrees = graph.degree_table(nodes, edges)
-    out = None
-    for kind in DEGREES:
-        part = numeric_summary(degrees, kind)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return numeric_summary(graph.degree_table(nodes, edges), DEGREES)
 
 
 def isolated_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
