@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["events_and_graph", "profiles", "time", "features_and_splits", "metrics"]
+MODULES = ["events_and_graph", "profiles", "time", "features_and_splits", "metrics", "neighbourhoods"]
 
 
 def _load() -> None:
