@@ -130,7 +130,7 @@ def draw(seed: int | str, k: int, *columns: str | Column) -> Column:
 
 
 def metric_text(c: str | Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", col(c).cast("double")), F.lit("N/A"))
+    return F.when(col(c).isNotNull(), F.format_string("%.4f", col(c).cast("double"))).otherwise("N/A")
 
 
 def interval_text(low: str | Column, high: str | Column) -> Column:

@@ -1,0 +1,115 @@
+"""Synthetic security events as column expressions over row numbers.
+
+Every value is hashed from the seed and the row number, so any partitioning of
+the rows yields the same table.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tracewright.functions.columns import business_hour, draw
+from tracewright.schemas import SCORING_SCHEMA
+
+# The pools and ranges of both behaviours.
+COMMON_EVENT_TYPES = ["login_success", "process_start", "file_read", "network_connection"]
+COMMON_PROCESSES = ["chrome", "outlook", "python", "powershell", "ssh", "java"]
+SUSPICIOUS_HOURS = [0, 1, 2, 3, 4, 5]
+SUSPICIOUS_EVENT_TYPES = ["login_failure", "privilege_change", "file_write", "network_connection"]
+SUSPICIOUS_PROCESSES = ["mimikatz", "unknown_binary", "encoded_powershell", "netcat"]
+
+
+@dataclass(frozen=True)
+class Behaviour:
+    hours: list[int]
+    processes: list[str]
+    event_types: list[str]
+    external_percent: int
+    bytes_in: tuple[int, int]
+    bytes_out: tuple[int, int]
+    label: int
+
+
+NORMAL = Behaviour(
+    list(range(8, 18)), COMMON_PROCESSES, COMMON_EVENT_TYPES, 10, (100, 20_000), (50, 10_000), 0
+)
+SUSPICIOUS = Behaviour(
+    SUSPICIOUS_HOURS, SUSPICIOUS_PROCESSES, SUSPICIOUS_EVENT_TYPES, 80, (100, 30_000),
+    (20_000, 250_000), 1,
+)
+
+
+@dataclass(frozen=True)
+class Settings:
+    num_events: int = 100_000
+    anomaly_rate: float = 0.12
+    seed: int = 42
+    start: str = "2026-01-01T00:00:00"
+    users: int = 50
+    hosts: int = 20
+    internal_ips: int = 20
+    external_ips: int = 10
+    business_hours: tuple[int, int] = (8, 18)
+    normal: Behaviour = field(default=NORMAL)
+    suspicious: Behaviour = field(default=SUSPICIOUS)
+
+    def check(self) -> None:
+        if self.num_events <= 0:
+            raise ValueError("num_events must be positive")
+        if not 0 <= self.anomaly_rate <= 1:
+            raise ValueError("anomaly_rate must be between 0 and 1")
+        if min(self.users, self.hosts, self.internal_ips, self.external_ips) <= 0:
+            raise ValueError("every entity count must be positive")
+        for hours in (self.normal.hours, self.suspicious.hours):
+            if not hours or any(not 0 <= h <= 23 for h in hours):
+                raise ValueError(f"bad event hours {hours}")
+
+
+def _one_of(values: list, pick: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), pick.cast("int") + 1)
+
+
+def _behave(b: Behaviour, s: Settings, row: str) -> Column:
+    def d(tag: str, k: int) -> Column:
+        return draw(f"{s.seed}|{tag}", k, row)
+
+    hour = _one_of(b.hours, d("hour", len(b.hours)))
+    seconds = d("day", 7) * 86_400 + hour * 3_600 + d("minute", 60) * 60 + d("second", 60)
+    stamp = F.timestamp_seconds(F.unix_seconds(F.lit(s.start).cast("timestamp")) + seconds)
+    external = d("outside", 100) < b.external_percent
+    (in_lo, in_hi), (out_lo, out_hi) = b.bytes_in, b.bytes_out
+    return F.struct(
+        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        F.format_string("user_%03d", d("user", s.users)).alias("user_id"),
+        F.format_string("host_%03d", d("host", s.hosts)).alias("host_id"),
+        _one_of(b.processes, d("process", len(b.processes))).alias("process_name"),
+        _one_of(b.event_types, d("type", len(b.event_types))).alias("event_type"),
+        F.concat(F.lit("10.0.0."), d("source", s.internal_ips) + 1).alias("source_ip"),
+        F.when(external, F.concat(F.lit("203.0.113."), d("far", s.external_ips) + 1))
+        .otherwise(F.concat(F.lit("10.0.0."), d("near", s.internal_ips) + 1)).alias("destination_ip"),
+        (d("in", in_hi - in_lo + 1) + in_lo).alias("bytes_in"),
+        (d("out", out_hi - out_lo + 1) + out_lo).alias("bytes_out"),
+        hour.cast("int").alias("event_hour"),
+        business_hour(hour, *s.business_hours).alias("is_business_hour"),
+        F.lit(b.label).alias("label"),
+    )
+
+
+def events_over(rows: DataFrame, number: str, settings: Settings, keep: list[str] | None = None) -> DataFrame:
+    """One event per row of ``rows``; the first ``int(n * rate)`` row numbers are suspicious."""
+    settings.check()
+    suspicious = int(settings.num_events * settings.anomaly_rate)
+    event = F.when(F.col(number) < suspicious, _behave(settings.suspicious, settings, number)).otherwise(
+        _behave(settings.normal, settings, number)
+    )
+    return rows.select(*(keep or []), event.alias("e")).select(
+        *(keep or []), *[f"e.{c}" for c in SCORING_SCHEMA.fieldNames()]
+    )
+
+
+def generate(spark: SparkSession, settings: Settings | None = None) -> DataFrame:
+    settings = settings or Settings()
+    settings.check()
+    return events_over(spark.range(settings.num_events), "id", settings)
