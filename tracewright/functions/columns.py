@@ -123,10 +123,14 @@ def hash_key(seed: int | str, *columns: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in columns]))
 
 
+def raw_draw(seed: int | str, *columns: str | Column) -> Column:
+    """Repeatable 48-bit integer per row."""
+    return F.conv(F.substring(hash_key(seed, *columns), 1, 12), 16, 10).cast("bigint")
+
+
 def draw(seed: int | str, k: int, *columns: str | Column) -> Column:
     """Repeatable integer in 0..k-1 per row."""
-    digits = F.substring(hash_key(seed, *columns), 1, 12)
-    return F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(k).cast("bigint"))
+    return F.pmod(raw_draw(seed, *columns), F.lit(k).cast("bigint"))
 
 
 def metric_text(c: str | Column) -> Column:

@@ -76,7 +76,7 @@ def _trim(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("b").alias("n")).distinct()
         inner = starts.join(ends, "n", "left_semi")
         kept = lookup(pairs, inner.select(F.col("n").alias("a")), ["a"], ["b"], "inner")
-        kept = lookup(kept, inner.select(F.col("n").alias("b")), ["b"], ["a"], "inner")
+        kept = lookup(kept, inner.select(F.col("n").alias("b")), ["b"], ["a"], "inner", count_on=pairs)
         pairs = materialize(kept.select("a", "b"), "trim")
         left = pairs.count()
         if left == rows:
@@ -103,8 +103,12 @@ def _spread_minimum(pairs: DataFrame, colours: DataFrame) -> DataFrame:
 
 def _collect_backward(pairs: DataFrame, colours: DataFrame) -> DataFrame:
     """Nodes that reach the root of their colour inside that colour."""
-    inside = lookup(pairs, colours.select(F.col("n").alias("a"), F.col("c").alias("ca")), ["a"], ["b"], "inner")
-    inside = lookup(inside, colours.select(F.col("n").alias("b"), F.col("c").alias("cb")), ["b"], ["a"], "inner")
+    inside = lookup(
+        pairs, colours.select(F.col("n").alias("a"), F.col("c").alias("ca")), ["a"], ["b"], "inner"
+    )
+    inside = lookup(
+        inside, colours.select(F.col("n").alias("b"), F.col("c").alias("cb")), ["b"], ["a"], "inner", count_on=pairs
+    )
     inside = materialize(inside.filter("ca = cb").select("a", "b"), "inside")
     reached = materialize(colours.filter("n = c").select("n"), "reached")
     front = reached

@@ -88,9 +88,10 @@ def build_edges(events: DataFrame, nodes: DataFrame) -> DataFrame:
         norm("source_file").alias("source_file"),
         to_long_or("row_number", -1).alias("row_number"),
     )
+    base = rows
     for end in ENDPOINTS:
         rows = lookup_as(
-            rows, nodes, f"{end}_key", "node_key", {"node_id": f"{end}_node_id"}, ["edge_id"]
+            rows, nodes, f"{end}_key", "node_key", {"node_id": f"{end}_node_id"}, ["edge_id"], count_on=base
         )
     return rows.select(*EDGE_SCHEMA.fieldNames())
 
@@ -132,7 +133,7 @@ def flag_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     spread = ["edge_id"] if "edge_id" in edges.columns else ["source_node_id", "destination_node_id"]
     out = edges
     for end in ENDPOINTS:
-        out = lookup_as(out, known, f"{end}_node_id", "node_id", {"known": f"_{end}"}, spread)
+        out = lookup_as(out, known, f"{end}_node_id", "node_id", {"known": f"_{end}"}, spread, count_on=edges)
     both = F.coalesce(F.col("_source") & F.col("_destination"), F.lit(False))
     return out.select(*edges.columns, both.alias("endpoints_known"))
 
@@ -162,7 +163,8 @@ def type_conflicts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     out = edges
     for end in ENDPOINTS:
         out = lookup_as(
-            out, nodes, f"{end}_node_id", "node_id", {"entity_type": f"_{end}_type"}, ["edge_id"]
+            out, nodes, f"{end}_node_id", "node_id", {"entity_type": f"_{end}_type"}, ["edge_id"],
+            count_on=edges,
         )
     agree = F.lit(True)
     for end in ENDPOINTS:
@@ -200,7 +202,7 @@ def local_endpoints(edges: DataFrame, indexed_nodes: DataFrame, name: str = "loc
     for end in ENDPOINTS:
         out = lookup_as(
             out, indexed_nodes, f"{end}_node_id", "node_id",
-            {name: f"{end}_{name}"}, ["source_node_id", "destination_node_id"],
+            {name: f"{end}_{name}"}, ["source_node_id", "destination_node_id"], count_on=edges,
         )
     return out
 

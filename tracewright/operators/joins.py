@@ -26,19 +26,20 @@ def lookup(
     how: str = "left",
     salts: int = SALTS,
     force_salt: bool = False,
-    hot: DataFrame | None = None,
+    count_on: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``dim`` (unique on ``on``) so that a hot key does not fill one task.
 
     A dimension below the session's broadcast limit goes the broadcast way that
     Catalyst picks by the same size check. Beyond it, rows of hot keys are dealt
     over ``salts`` sub-keys by a hash of ``spread_by`` and the matching dimension
-    rows, at most ``salts / HOT_SHARE`` of them, are repeated.
+    rows, at most ``salts / HOT_SHARE`` of them, are repeated. Hot keys are counted on
+    ``count_on`` where ``rows`` is costly to compute twice but keeps its keys.
     """
     spark = rows.sparkSession
     if not force_salt and planned_bytes(dim) <= broadcast_limit(spark):
         return rows.join(dim, on, how)
-    marked = (hot if hot is not None else hot_keys(rows, on)).withColumn("_hot", F.lit(True))
+    marked = hot_keys(rows if count_on is None else count_on, on).withColumn("_hot", F.lit(True))
     # At most 1/HOT_SHARE rows, whatever the size of the data.
     marked = F.broadcast(marked)
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")

@@ -130,7 +130,7 @@ def decode(pairs: DataFrame, embeddings: DataFrame, vector: str = "embedding", k
     """Pair probability ``sigmoid(z_a . z_b)`` and anomaly score ``1 - p``."""
     out = pairs
     for end in PAIR:
-        out = lookup_as(out, embeddings, end, key, {vector: f"_{end}"}, PAIR, "inner")
+        out = lookup_as(out, embeddings, end, key, {vector: f"_{end}"}, PAIR, "inner", count_on=pairs)
     p = sigmoid(dot("_a", "_b"))
     return out.withColumn("probability", p).withColumn("anomaly_score", 1.0 - F.col("probability")).drop("_a", "_b")
 

@@ -117,7 +117,7 @@ def with_endpoint_context(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     for end in graph.ENDPOINTS:
         out = lookup_as(
             out, nodes, f"{end}_node_id", "node_id",
-            {"node_key": f"{end}_node_key", "label": f"{end}_label"}, ["edge_id"],
+            {"node_key": f"{end}_node_key", "label": f"{end}_label"}, ["edge_id"], count_on=edges,
         )
     return out
 

@@ -71,7 +71,10 @@ def adjacency_weights(nodes: DataFrame, edges: DataFrame, undirected: bool = Tru
     )
     degree = pairs.groupBy(F.col("dst").alias("node_id")).agg(F.sum("n").alias("d"))
     left = lookup(pairs, degree.select(F.col("node_id").alias("src"), F.col("d").alias("ds")), ["src"], ["dst"], "inner")
-    both = lookup(left, degree.select(F.col("node_id").alias("dst"), F.col("d").alias("dd")), ["dst"], ["src"], "inner")
+    both = lookup(
+        left, degree.select(F.col("node_id").alias("dst"), F.col("d").alias("dd")), ["dst"], ["src"], "inner",
+        count_on=pairs,
+    )
     return both.select("src", "dst", (F.col("n") / F.sqrt(F.col("ds").cast("double") * F.col("dd"))).alias("weight"))
 
 
@@ -166,17 +169,18 @@ def attention(
         pairs = pairs.filter("src <> dst").unionByName(own)
     sent = _sent(pairs, nodes.select("node_id", "_send", *names))
     scored = lookup(
-        sent, nodes.select(F.col("node_id").alias("dst"), "_recv"), ["dst"], ["src"], "inner"
+        sent, nodes.select(F.col("node_id").alias("dst"), "_recv"), ["dst"], ["src"], "inner", count_on=pairs
     ).withColumn("_score", leaky_relu(F.col("_recv") + F.col("_send"), slope))
     peak = scored.groupBy("dst").agg(F.max("_score").alias("_peak"))
-    lifted = lookup(scored, peak, ["dst"], ["src"], "inner").withColumn(
+    lifted = lookup(scored, peak, ["dst"], ["src"], "inner", count_on=pairs).withColumn(
         "_e", F.col("n") * F.exp(F.col("_score") - F.col("_peak"))
     )
     sums = lifted.groupBy("dst").agg(
         F.sum("_e").alias("_total"), *[F.sum(F.col("_e") * F.col(n)).alias(n) for n in names]
     )
     shares = lookup(
-        lifted.select("src", "dst", "n", "_score", "_e"), sums.select("dst", "_total"), ["dst"], ["src"], "inner"
+        lifted.select("src", "dst", "n", "_score", "_e"), sums.select("dst", "_total"), ["dst"], ["src"], "inner",
+        count_on=pairs,
     ).select("src", "dst", F.col("_score").alias("score"), (F.col("_e") / F.col("_total")).alias("weight"))
     fresh = sums.select(
         F.col("dst").alias("node_id"), *[(F.col(n) / F.col("_total")).alias(n) for n in names]

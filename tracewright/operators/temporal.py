@@ -136,6 +136,7 @@ def _finish(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def _local(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
+    # ``order`` starts with the window, so both frames read the same sort.
     one_back = W.partitionBy(*keys).orderBy("window_id").rangeBetween(-1, -1)
     return (
         rows.withColumn("_n", F.row_number().over(w))
@@ -181,7 +182,7 @@ def _chunk_carry(rows: DataFrame) -> DataFrame:
 def _recency_in_chunks(rows: DataFrame, columns: list[str], partitions: int | None) -> DataFrame:
     """Recency of long relations: each is cut into sorted chunks that run in parallel."""
     cut = chunked(rows, [*RELATION, "timestamp", "edge_id"], partitions)
-    local = _local(cut, [CHUNK, *RELATION], [POSITION])
+    local = _local(cut, [CHUNK, *RELATION], ["window_id", POSITION])
     # One row per chunk plus one per hot relation, of which there are HOT_KEY_LIMIT at most.
     joined = local.join(F.broadcast(_chunk_carry(cut)), [CHUNK, *RELATION])
     zero = F.lit(0).cast("bigint")
@@ -210,7 +211,9 @@ def relationship_recency(
     """
     require_columns(events, [*RELATION, "window_id", "timestamp", "edge_id"], "events")
     columns = events.columns
-    plain = lambda rows: _finish(_local(rows, RELATION, ["timestamp", "edge_id"]), columns)
+    plain = lambda rows: _finish(_local(rows, RELATION, ["window_id", "timestamp", "edge_id"]), columns)
+    if events.count() <= rows_per_key:
+        return plain(events)
     hot = _hot_relations(events, rows_per_key).persist()
     if hot.isEmpty():
         hot.unpersist()

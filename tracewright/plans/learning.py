@@ -66,9 +66,8 @@ def synthetic_events(spark, sf_dir):
 
 
 def _event_split(spark, sf_dir):
-    return materialize(
-        splits.stratified_split(synthetic_events(spark, sf_dir), ["i"], "label"), "events_split"
-    )
+    events = materialize(synthetic_events(spark, sf_dir), "synthetic")
+    return materialize(splits.stratified_split(events, ["i"], "label"), "events_split")
 
 
 def _event_model(split):

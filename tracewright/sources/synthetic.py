@@ -10,9 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracewright.functions.columns import business_hour, draw
-from tracewright.schemas import SCORING_SCHEMA
-
+from tracewright.functions.columns import business_hour, raw_draw
 # The pools and ranges of both behaviours.
 COMMON_EVENT_TYPES = ["login_success", "process_start", "file_read", "network_connection"]
 COMMON_PROCESSES = ["chrome", "outlook", "python", "powershell", "ssh", "java"]
@@ -67,45 +65,59 @@ class Settings:
                 raise ValueError(f"bad event hours {hours}")
 
 
-def _one_of(values: list, pick: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), pick.cast("int") + 1)
+DRAWS = [
+    "hour", "day", "minute", "second", "outside", "user", "host", "process", "type", "source", "far",
+    "near", "in", "out",
+]
 
 
-def _behave(b: Behaviour, s: Settings, row: str) -> Column:
-    def d(tag: str, k: int) -> Column:
-        return draw(f"{s.seed}|{tag}", k, row)
+def events_over(rows: DataFrame, number: str, settings: Settings, keep: list[str] | None = None) -> DataFrame:
+    """One event per row of ``rows``; the first ``int(n * rate)`` row numbers are suspicious.
 
-    hour = _one_of(b.hours, d("hour", len(b.hours)))
-    seconds = d("day", 7) * 86_400 + hour * 3_600 + d("minute", 60) * 60 + d("second", 60)
-    stamp = F.timestamp_seconds(F.unix_seconds(F.lit(s.start).cast("timestamp")) + seconds)
-    external = d("outside", 100) < b.external_percent
-    (in_lo, in_hi), (out_lo, out_hi) = b.bytes_in, b.bytes_out
-    return F.struct(
-        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
-        F.format_string("user_%03d", d("user", s.users)).alias("user_id"),
-        F.format_string("host_%03d", d("host", s.hosts)).alias("host_id"),
-        _one_of(b.processes, d("process", len(b.processes))).alias("process_name"),
-        _one_of(b.event_types, d("type", len(b.event_types))).alias("event_type"),
-        F.concat(F.lit("10.0.0."), d("source", s.internal_ips) + 1).alias("source_ip"),
-        F.when(external, F.concat(F.lit("203.0.113."), d("far", s.external_ips) + 1))
-        .otherwise(F.concat(F.lit("10.0.0."), d("near", s.internal_ips) + 1)).alias("destination_ip"),
-        (d("in", in_hi - in_lo + 1) + in_lo).alias("bytes_in"),
-        (d("out", out_hi - out_lo + 1) + out_lo).alias("bytes_out"),
-        hour.cast("int").alias("event_hour"),
-        business_hour(hour, *s.business_hours).alias("is_business_hour"),
-        F.lit(b.label).alias("label"),
+    Each draw is hashed once; the behaviour only decides what it is mapped to.
+    """
+    settings.check()
+    s, normal, odd = settings, settings.normal, settings.suspicious
+    drawn = rows.select(
+        *(keep or []), (F.col(number) < int(s.num_events * s.anomaly_rate)).alias("_odd"),
+        *[raw_draw(f"{s.seed}|{tag}", number).alias(f"_{tag}") for tag in DRAWS],
     )
 
+    def either(of) -> Column:
+        return F.when(F.col("_odd"), of(odd)).otherwise(of(normal))
 
-def events_over(rows: DataFrame, number: str, settings: Settings, keep: list[str] | None = None) -> DataFrame:
-    """One event per row of ``rows``; the first ``int(n * rate)`` row numbers are suspicious."""
-    settings.check()
-    suspicious = int(settings.num_events * settings.anomaly_rate)
-    event = F.when(F.col(number) < suspicious, _behave(settings.suspicious, settings, number)).otherwise(
-        _behave(settings.normal, settings, number)
+    def below(tag: str, k: int) -> Column:
+        return F.pmod(F.col(f"_{tag}"), F.lit(k).cast("bigint"))
+
+    def one_of(tag: str, values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), below(tag, len(values)).cast("int") + 1)
+
+    def between(tag: str, ends: tuple[int, int]) -> Column:
+        return below(tag, ends[1] - ends[0] + 1) + ends[0]
+
+    timed = drawn.withColumns({
+        "event_hour": either(lambda b: one_of("hour", b.hours)).cast("int"),
+        "_external": below("outside", 100) < either(lambda b: F.lit(b.external_percent)),
+    })
+    seconds = (
+        below("day", 7) * 86_400 + F.col("event_hour") * 3_600 + below("minute", 60) * 60
+        + below("second", 60)
     )
-    return rows.select(*(keep or []), event.alias("e")).select(
-        *(keep or []), *[f"e.{c}" for c in SCORING_SCHEMA.fieldNames()]
+    stamp = F.timestamp_seconds(F.unix_seconds(F.lit(s.start).cast("timestamp")) + seconds)
+    return timed.select(
+        *(keep or []),
+        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        F.format_string("user_%03d", below("user", s.users)).alias("user_id"),
+        F.format_string("host_%03d", below("host", s.hosts)).alias("host_id"),
+        either(lambda b: one_of("process", b.processes)).alias("process_name"),
+        either(lambda b: one_of("type", b.event_types)).alias("event_type"),
+        F.concat(F.lit("10.0.0."), below("source", s.internal_ips) + 1).alias("source_ip"),
+        F.when(F.col("_external"), F.concat(F.lit("203.0.113."), below("far", s.external_ips) + 1))
+        .otherwise(F.concat(F.lit("10.0.0."), below("near", s.internal_ips) + 1)).alias("destination_ip"),
+        either(lambda b: between("in", b.bytes_in)).alias("bytes_in"),
+        either(lambda b: between("out", b.bytes_out)).alias("bytes_out"),
+        "event_hour", business_hour("event_hour", *s.business_hours).alias("is_business_hour"),
+        either(lambda b: F.lit(b.label)).alias("label"),
     )
 
 

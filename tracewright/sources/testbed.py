@@ -56,7 +56,10 @@ def raw_log(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         return _tagged(shaped, kind)
     events = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("row_number"),
-        _text("unix_seconds(cast(ts as timestamp))").alias("timestamp"),
+        # The column has no zone, so its fields are read as they stand.
+        _text(
+            "unix_date(to_date(ts)) * 86400L + hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))"
+        ).alias("timestamp"),
         "user_id", "event_id", "event_type", "value",
         F.regexp_extract("props", r"(\d+)", 1).alias("k"),
     )
