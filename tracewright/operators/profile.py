@@ -75,6 +75,11 @@ def basic_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def key_value_table(row: DataFrame) -> DataFrame:
+    """(metric, value) rows from a one-row table of counts."""
+    return row.unpivot([], row.columns, "metric", "value")
+
+
 def top_nodes(degrees: DataFrame, by: str = "total_degree", k: int = 25) -> DataFrame:
     context = [c for c in ("node_id", *NODE_CONTEXT, *DEGREES) if c in degrees.columns]
     return degrees.select(context).orderBy(F.desc(by), F.asc("node_id")).limit(k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["events_and_graph", "profiles", "time", "features_and_splits", "metrics", "neighbourhoods", "learning", "operations"]
+MODULES = ["events_and_graph", "profiles", "time", "features_and_splits", "metrics", "neighbourhoods", "learning", "operations", "files"]
 
 
 def _load() -> None:
