@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracewright.functions.columns import UNKNOWN, event_id, norm, to_double_or, to_long_or
 from tracewright.schemas import EVENT_COLUMNS, FAMILIES, raw_columns, require_columns
 
+# Fixed value: event ids of the public log set start with it.
 PREFIX = "lanl"
 MISSING_TIME = -1
 

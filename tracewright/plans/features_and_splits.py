@@ -65,7 +65,25 @@ def edge_features_safe_fit(spark, sf_dir):
     return _rounded(out, ["timestamp_scaled"])
 
 
-@query("feature_manifest")
+def _manifest_row(position: int, name: str, kind: str, key: bool, target: bool, source: str) -> str:
+    return (
+        f"SELECT CAST({position} AS INTEGER) AS position, '{name}' AS field, '{kind}' AS kind, "
+        f"{not key and not target} AS model_input, {target} AS target, '{source}' AS source_column, "
+        "false AS marks_ground_truth WHERE (SELECT count(*) FROM edge_table) > 0"
+    )
+
+
+_EDGE_FIELDS = [
+    ("edge_id", "string", True, False, "edge_id"), ("source_node_id", "bigint", True, False, "source_node_id"),
+    ("destination_node_id", "bigint", True, False, "destination_node_id"),
+    ("timestamp_scaled", "double", False, False, "timestamp"),
+    *[(f"edge_type_{t}", "double", False, False, "edge") for t in EDGE_TYPES],
+    ("label", "bigint", False, True, "label"),
+]
+
+
+@query("feature_manifest", sql(" UNION ALL ".join(
+    _manifest_row(i, *field) for i, field in enumerate(_EDGE_FIELDS))))
 def feature_manifest(spark, sf_dir):
     table = features.edge_features(testbed.edges(spark, sf_dir))
     return features.feature_manifest(table, ["edge_id", "source_node_id", "destination_node_id"])

@@ -141,7 +141,10 @@ def _folder(spark, sf_dir, kind):
 
 def _unified(spark, sf_dir):
     kinds = ("auth", "dns", "flows", "proc", "redteam")
-    return streams.unified_stream({k: streams.raw_stream(spark, _folder(spark, sf_dir, k), k) for k in kinds})
+    return streams.unified_stream({
+        # One batch: the landed tables are a finished backfill, not ordered by time.
+        k: streams.raw_stream(spark, _folder(spark, sf_dir, k), k, max_files=1_000_000) for k in kinds
+    })
 
 
 @contextmanager
@@ -169,9 +172,16 @@ def streamed_events(spark, sf_dir):
     )
 
 
-@query("streamed_hourly_counts")
+@query("streamed_hourly_counts", sql("""
+SELECT "timestamp" // 3600 * 3600 AS window_start, source_entity, event_family || ':' || event_type AS edge_type,
+       destination_entity, count(*) AS events_in_window
+FROM unified
+WHERE "timestamp" // 3600 * 3600 + 3600 <= (SELECT max("timestamp") - 3600 FROM unified)
+GROUP BY 1, 2, 3, 4"""))
 def streamed_hourly_counts(spark, sf_dir):
-    return _drained(spark, streams.hourly_relation_counts(_unified(spark, sf_dir)))
+    """Windows the watermark has closed by the end of the input."""
+    out = _drained(spark, streams.hourly_relation_counts(_unified(spark, sf_dir)))
+    return out.withColumn("window_start", F.unix_seconds("window_start"))
 
 
 @query("streamed_recency", sql("""
