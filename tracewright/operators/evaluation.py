@@ -131,11 +131,12 @@ def threshold_sweep(df: DataFrame, grid: list[float] = REPORT_GRID, by: list[str
     binned = df.groupBy(*by, _points_reached(F.col("score"), grid).alias("_bin")).agg(
         F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n")
     )
-    points = spark.createDataFrame(
-        [(k + 1, round(t, 4)) for k, t in enumerate(grid)] + [(0, None)], "_bin int, threshold double"
-    )
-    # The grid is a fixed short list.
-    spine = binned.select(*by).distinct().join(F.broadcast(points)) if by else points
+    points = [
+        F.struct(F.lit(k).alias("_bin"), F.lit(t).cast("double").alias("threshold"))
+        for k, t in [(0, None), *((k + 1, round(t, 4)) for k, t in enumerate(grid))]
+    ]
+    groups = binned.select(*by).distinct() if by else spark.range(1)
+    spine = groups.select(*by, F.explode(F.array(*points)).alias("p")).select(*by, "p.*")
     joined = spine.join(binned, [*by, "_bin"], "left")
     above = W.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("_bin")).rowsBetween(W.unboundedPreceding, 0)
     every = W.partitionBy(*(by or [F.lit(1)]))

@@ -24,19 +24,15 @@ WITHHELD = "ground_truth_edge_type_withheld"
 
 def leaks_label() -> Column:
     """True for an edge that reveals ground truth through its label or a descriptive column."""
-    # Each test alone decides; a null test counts as no match.
-    tests = [
-        F.col("label") == 1,
-        F.col("event_family") == GROUND_TRUTH_FAMILY,
-        F.col("event_type") == GROUND_TRUTH_TYPE,
-        F.col("event_result") == GROUND_TRUTH_RESULT,
-        F.startswith("edge_type", F.lit(GROUND_TRUTH_FAMILY)),
-        F.contains(F.lower("source_file"), F.lit(GROUND_TRUTH_SOURCE)),
-    ]
-    out = F.lit(False)
-    for test in tests:
-        out = out | F.coalesce(test, F.lit(False))
-    return out
+    # Each test alone decides. Null-safe equality counts null as no match and reaches the scan.
+    return (
+        F.col("label").eqNullSafe(1)
+        | F.col("event_family").eqNullSafe(GROUND_TRUTH_FAMILY)
+        | F.col("event_type").eqNullSafe(GROUND_TRUTH_TYPE)
+        | F.col("event_result").eqNullSafe(GROUND_TRUTH_RESULT)
+        | F.coalesce(F.startswith("edge_type", F.lit(GROUND_TRUTH_FAMILY)), F.lit(False))
+        | F.coalesce(F.contains(F.lower("source_file"), F.lit(GROUND_TRUTH_SOURCE)), F.lit(False))
+    )
 
 
 def safe_edges(edges: DataFrame) -> DataFrame:

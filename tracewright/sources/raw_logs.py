@@ -8,7 +8,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tracewright.functions.columns import missing_to_null
+from tracewright.operators.joins import lookup
 from tracewright.schemas import FAMILIES, TableCheckError, raw_columns, raw_schema
+from tracewright.session import materialize
 
 DEFAULT_MAX_ROWS = 1_000_000
 
@@ -62,10 +64,10 @@ def with_row_numbers(df: DataFrame) -> DataFrame:
         F.min("_serial").alias("_first"), F.count("*").alias("_n")
     )
     before = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = splits.select(
+    offsets = materialize(splits.select(
         "_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    return marked.join(offsets, ["_file", "_block"]).withColumn(
+    ), "splits")
+    return lookup(marked, offsets, ["_file", "_block"], ["_serial"], "inner").withColumn(
         "row_number", F.col("_start") + F.col("_serial") - F.col("_first")
     )
 
