@@ -46,7 +46,7 @@ def _halves(spark, sf_dir):
     return tuple(marked.filter(F.col("half") == h).select(columns) for h in ("reference", "current"))
 
 
-@query("numeric_drift", sql("""
+cte("numeric_drift_table", """
 SELECT d.field, round(max(abs(fr - fc)), 6) AS ks_distance,
        round(sum(abs(fr - fc) * width) / greatest(max(s.std), 0.001), 6) AS wasserstein, max(psi) AS psi
 FROM half_points d JOIN half_spread s ON s.field = d.field
@@ -56,12 +56,9 @@ JOIN (SELECT field, round(sum((q - p) * ln(q / p)), 6) AS psi FROM (
         FROM half_points h JOIN half_spread z ON z.field = h.field
         GROUP BY h.field, least(greatest(floor((v - lo) / (hi - lo) * 10), 0), 9)) GROUP BY field) x
   ON x.field = d.field
-GROUP BY d.field"""))
-def numeric_drift(spark, sf_dir):
-    return rounded(monitoring.numeric_drift(*_halves(spark, sf_dir), ["value", "user_id"]))
-
+GROUP BY d.field""")
 
-@query("categorical_drift", sql("""
+cte("category_drift_table", """
 SELECT 'event_type' AS field,
        round(sqrt((sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END)
                  + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2), 6) AS jensen_shannon,
@@ -70,19 +67,36 @@ SELECT 'event_type' AS field,
 FROM (SELECT r, c, nr, nc, r / nr AS p, c / nc AS q FROM (
   SELECT CAST(sum(is_ref) AS DOUBLE) AS r, CAST(sum(1 - is_ref) AS DOUBLE) AS c,
          CAST(sum(sum(is_ref)) OVER () AS DOUBLE) AS nr, CAST(sum(sum(1 - is_ref)) OVER () AS DOUBLE) AS nc
-  FROM halves GROUP BY event_type))"""))
+  FROM halves GROUP BY event_type))""")
+
+cte("drift_rows", """
+SELECT field, 'wasserstein' AS test, wasserstein AS statistic, wasserstein >= 0.1 AS drifted FROM numeric_drift_table
+UNION ALL SELECT field, 'jensen_shannon', jensen_shannon, jensen_shannon >= 0.1 FROM category_drift_table
+""")
+
+
+@query("numeric_drift", sql("SELECT * FROM numeric_drift_table"))
+def numeric_drift(spark, sf_dir):
+    return rounded(monitoring.numeric_drift(*_halves(spark, sf_dir), ["value", "user_id"]))
+
+
+@query("categorical_drift", sql("SELECT * FROM category_drift_table"))
 def categorical_drift(spark, sf_dir):
     return rounded(monitoring.categorical_drift(*_halves(spark, sf_dir), ["event_type"]))
 
 
-@query("drift_report")
+@query("drift_report", sql("SELECT * FROM drift_rows"))
 def drift_report(spark, sf_dir):
     return rounded(monitoring.drift_report(*_halves(spark, sf_dir)))
 
 
-@query("drift_summary")
+@query("drift_summary", sql("""
+SELECT count(*) AS columns, count(*) FILTER (WHERE drifted) AS drifted_columns,
+       round(count(*) FILTER (WHERE drifted) / CAST(count(*) AS DOUBLE), 6) AS drifted_share,
+       count(*) FILTER (WHERE drifted) / CAST(count(*) AS DOUBLE) >= 0.5 AS dataset_drift
+FROM drift_rows"""))
 def drift_summary(spark, sf_dir):
-    return monitoring.drift_summary(monitoring.drift_report(*_halves(spark, sf_dir)))
+    return rounded(monitoring.drift_summary(monitoring.drift_report(*_halves(spark, sf_dir))))
 
 
 @query("table_fingerprint")
