@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tracewright.operators.joins import lookup
-from tracewright.session import materialize
+from tracewright.session import discard, materialize
 
 
 def _pairs(edges: DataFrame, source: str, destination: str) -> DataFrame:
@@ -57,7 +57,9 @@ def weak_components(
         small = marked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             marked.select("a", F.col("m").alias("b"))
         )
-        current = materialize(small.filter("a <> b").distinct(), "weak")
+        fresh = materialize(small.filter("a <> b").distinct(), "weak")
+        discard(current, large)
+        current = fresh
         found = _signature(current)
         if found == seen:
             break
@@ -87,15 +89,19 @@ def _trim(pairs: DataFrame) -> DataFrame:
 
 def _spread_minimum(pairs: DataFrame, colours: DataFrame) -> DataFrame:
     """Each node takes the smallest id that reaches it along the pairs."""
+    best = None
     while True:
         sent = lookup(
             pairs, colours.select(F.col("n").alias("a"), F.col("c")), ["a"], ["b"], "inner"
         ).groupBy(F.col("b").alias("n")).agg(F.min("c").alias("c"))
-        best = materialize(
+        fresh = materialize(
             colours.join(sent.withColumnRenamed("c", "s"), "n", "left")
             .select("n", F.least("c", "s").alias("c"), F.coalesce(F.col("s") < F.col("c"), F.lit(False)).alias("moved")),
             "colour",
         )
+        if best is not None:
+            discard(best)
+        best = fresh
         colours = best.select("n", "c")
         if best.filter("moved").isEmpty():
             return colours

@@ -61,15 +61,25 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{app_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialized_path = path
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no frame still in use reads."""
+    for df in tables:
+        _delete(df.sparkSession, df.materialized_path)
 
 
 def release(spark: SparkSession) -> bool:
     """Delete every table this application has materialised."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(app_dir(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.delete(path, True)
+    return _delete(spark, app_dir(spark))
 
 
 def planned_bytes(df: DataFrame) -> int:
