@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 import xxhash
 
-from tracewright.llm import decontaminate, pii, quality, sentencepiece, simhash
+from tracewright.llm import decontaminate, pieces, pii, quality, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -262,7 +262,7 @@ def test_pseudonyms_odd_tables(spark):
 
 @pytest.fixture(scope="module")
 def vocabulary():
-    return sentencepiece.Vocabulary.load()
+    return pieces.Vocabulary.load()
 
 
 def plain_viterbi(vocabulary, unknown, text):
@@ -290,8 +290,8 @@ def plain_viterbi(vocabulary, unknown, text):
 def test_viterbi_matches_brute_force_and_round_trips(vocabulary):
     import sentencepiece as library
 
-    model = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
-    coder = sentencepiece.Coder(vocabulary)
+    model = library.SentencePieceProcessor(model_file=pieces.MODEL)
+    coder = pieces.Coder(vocabulary)
     random.seed(2)
     letters = "abcdehinorst  éèßñ\n\t.,%世\U0001F600▁   AB12"
     for _ in range(400):
@@ -305,7 +305,7 @@ def test_viterbi_matches_brute_force_and_round_trips(vocabulary):
 
 
 def test_stream_gives_ids_early_and_stays_small(vocabulary):
-    coder = sentencepiece.Coder(vocabulary)
+    coder = pieces.Coder(vocabulary)
     text = "▁" + "thing" * 40_000
     stream = coder.stream(text)
     first = [next(stream) for _ in range(3)]
@@ -314,13 +314,13 @@ def test_stream_gives_ids_early_and_stays_small(vocabulary):
 
 
 def test_token_ids_on_tables(spark, docs):
-    out = sentencepiece.round_trips(docs).collect()
+    out = pieces.round_trips(docs).collect()
     assert len(out) == docs.count() and all(r.restored and r.n_ids == len(r.ids) for r in out)
     odd, empty = odd_tables(spark)
-    found = sentencepiece.round_trips(odd).collect()
+    found = pieces.round_trips(odd).collect()
     assert len(found) == odd.count()
     assert all((r.ids is None) == (r.n_ids is None) == (r.restored is None) and r.restored is not False for r in found)
-    assert sentencepiece.round_trips(empty).count() == 0
+    assert pieces.round_trips(empty).count() == 0
     whole = odd.filter("text is not null")
-    back = sentencepiece.decoded(sentencepiece.encoded(whole).drop("doc_id")).select("decoded_text")
+    back = pieces.decoded(pieces.encoded(whole).drop("doc_id")).select("decoded_text")
     assert back.exceptAll(whole.select("text")).count() == 0 and back.count() == whole.count()

@@ -18,13 +18,14 @@ from math import inf
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Chunks up to this length are remembered, this many of them in a worker.
-_SHORT, _REMEMBERED = 32, 1 << 19
+_SHORT, _REMEMBERED = 32, 1 << 17
+_ROWS = 256
 _UNKNOWN_COST = 10.0
 
 
@@ -178,17 +179,46 @@ def _coder(vocabulary: Vocabulary) -> Coder:
     return _coders[key]
 
 
-def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """``doc_id``, ``ids`` and ``n_ids`` of every row's whole text; null for a null text, 0 for an empty one."""
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that only their texts and ids are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
+def _id_lists(found: list[np.ndarray | None]) -> pa.ListArray:
+    sizes = [0 if x is None else len(x) for x in found]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    values = np.concatenate([x for x in found if x is not None] or [np.zeros(0, np.int32)])
+    offsets = pa.array(ends, pa.int32(), mask=np.array([x is None for x in found] + [False]))
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))
+
+
+def round_trips(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """``doc_id``, ``ids``, ``n_ids`` and ``restored``, whether decoding gave the text back, for every row's whole text.
+
+    All three are null for a null text; an empty text has no ids. Repeated rows repeat.
+    """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))  # the size of the file
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def encode(texts: pd.Series) -> pd.Series:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary.value)
-        return pd.Series([coder.encode(t) for t in texts], dtype=object)
+        for part in _sliced(batches):
+            texts = part.column("text").to_pylist()
+            ids = [coder.encode(t) for t in texts]
+            same = [None if t is None else coder.decode(i.tolist()) == t for t, i in zip(texts, ids)]
+            count = pa.array([None if i is None else len(i) for i in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), _id_lists(ids), count, pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "restored"]
+            )
+
+    given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return given.mapInArrow(code, f"doc_id {dict(given.dtypes)['doc_id']}, ids array<int>, n_ids bigint, restored boolean")
 
-    found = docs.select("doc_id", encode("text").alias("ids"))
-    return found.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_ids"))
+
+def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """``round_trips`` without the proof."""
+    return round_trips(docs, path).drop("restored")
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
@@ -201,19 +231,3 @@ def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
         return pd.Series([coder.decode(x) for x in ids], dtype=object)
 
     return rows.withColumn("decoded_text", decode("ids"))
-
-
-def round_trips(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """``encoded`` with ``restored``: whether decoding gave the text back; null texts give null."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
-
-    @F.pandas_udf("ids array<int>, restored boolean")
-    def both(texts: pd.Series) -> pd.DataFrame:
-        coder = _coder(vocabulary.value)
-        ids = [coder.encode(t) for t in texts]
-        same = [None if t is None else coder.decode(i.tolist()) == t for t, i in zip(texts, ids)]
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "restored": pd.Series(same, dtype=object)})
-
-    found = docs.select("doc_id", both("text").alias("x"))
-    n_ids = F.when(F.col("x.ids").isNotNull(), F.size("x.ids")).cast("long").alias("n_ids")
-    return found.select("doc_id", "x.ids", n_ids, "x.restored")

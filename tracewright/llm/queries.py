@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontaminate, pii, quality, sentencepiece, simhash
+from tracewright.llm import decontaminate, html_text, langid, pieces, pii, quality, secret_scan, sharding, simhash
+from tracewright.session import app_dir
 
 Runner = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Runner] = {}
@@ -27,6 +29,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_virtual_slots")
+def _(spark, sf_dir):
+    return sharding.assigned(_table(spark, sf_dir, "documents"))
+
+
 @query("op3_pseudonyms")
 def _(spark, sf_dir):
     return pii.pseudonymized(_table(spark, sf_dir, "documents"))
@@ -39,7 +46,24 @@ def _(spark, sf_dir):
 
 @query("op5_sentencepiece")
 def _(spark, sf_dir):
-    return sentencepiece.round_trips(_table(spark, sf_dir, "documents"))
+    return pieces.round_trips(_table(spark, sf_dir, "documents"))
+
+
+@query("op6_language")
+def _(spark, sf_dir):
+    return langid.identified(_table(spark, sf_dir, "documents"))
+
+
+@query("op7_secrets")
+def _(spark, sf_dir):
+    # A new ledger: this run meets every content for the first time.
+    folder = f"{app_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    return secret_scan.found_secrets(_table(spark, sf_dir, "documents"), folder)
+
+
+@query("op8_main_text")
+def _(spark, sf_dir):
+    return html_text.extracted(_table(spark, sf_dir, "pages"))
 
 
 @query("op9_simhash")
