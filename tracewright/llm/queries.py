@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontaminate, html_text, langid, pieces, pii, quality, secret_scan, sharding, simhash
+from tracewright.llm import decontaminate, html_text, langid, ngram_model, pieces, pii, quality, secret_scan, sharding, simhash
 from tracewright.session import app_dir
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def _(spark, sf_dir):
     return sharding.assigned(_table(spark, sf_dir, "documents"))
 
 
+@query("op2_ngram_trie")
+def _(spark, sf_dir):
+    return ngram_model.document_scores(_table(spark, sf_dir, "documents"))
+
+
 @query("op3_pseudonyms")
 def _(spark, sf_dir):
     return pii.pseudonymized(_table(spark, sf_dir, "documents"))
