@@ -54,7 +54,29 @@ def test_landing_limits_and_switches(spark, raw_dir):
     with pytest.raises(ValueError):
         raw_logs.land(spark, path, "dns", max_rows=0)
     with pytest.raises(TableCheckError):
-        raw_logs.read_raw(spark, path, "auth")
+        raw_logs.land(spark, path, "auth")
+
+
+def test_landing_checks_every_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,h1,h2\n")
+    (tmp_path / "b.csv").write_text("2,h1,h2\n3,h1\n")
+    with pytest.raises(TableCheckError):
+        raw_logs.land(spark, str(tmp_path), "dns")
+    (tmp_path / "b.csv").write_text('2,"h1,quoted",h2\n')
+    assert raw_logs.land(spark, str(tmp_path), "dns").count() == 2
+
+
+def test_landing_keeps_all_rows_when_the_scan_is_cut_anew(spark, tmp_path):
+    (tmp_path / "dns.csv").write_text("".join(f"{i},host{i % 7},name{i}\n" for i in range(60_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        table = raw_logs.land(spark, str(tmp_path), "dns")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "170k")
+        got = table.select("row_number", "timestamp").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["row_number"], int(r["timestamp"])) for r in got) == [(i, i) for i in range(60_000)]
 
 
 def test_row_numbers_across_splits_and_files(spark, tmp_path):

@@ -52,14 +52,24 @@ def test_salted_lookup_equals_join(spark, skewed):
     dim = spark.range(40).select(F.col("id").alias("source_node_id"), (F.col("id") * 7).alias("v"))
     plain = skewed.join(dim, "source_node_id", "left").select("edge_id", "v")
     for how in ("left", "inner"):
-        salted = lookup(skewed, dim, ["source_node_id"], ["edge_id"], how, salts=5, force_salt=True)
+        salted = lookup(skewed, dim, ["source_node_id"], ["edge_id"], how, rows_per_task=7, force_salt=True)
         want = plain if how == "left" else plain.filter("v is not null")
         assert rows(salted.select("edge_id", "v").na.fill(-1)) == rows(want.na.fill(-1))
 
 
-def test_hot_keys_are_few(skewed):
-    hot = hot_keys(skewed, ["source_node_id"], 0.2)
-    assert rows(hot) == [(1,)]
+@pytest.mark.parametrize("share", [2, 100, 2000])
+def test_no_part_of_a_hot_key_is_above_the_bound(spark, share):
+    """A key with a half, a hundredth or a two-thousandth of the rows."""
+    given = spark.range(200_000).select(
+        F.col("id").alias("edge_id"), F.when(F.col("id") % share == 0, -1).otherwise(F.col("id")).alias("k")
+    )
+    hot = hot_keys(given, ["k"], 50).collect()
+    assert [(r["k"], r["_parts"]) for r in hot] == [(-1, -(-(-(-200_000 // share)) // 50))]
+    dim = given.select("k").distinct().withColumn("v", F.col("k") + 1)
+    out = lookup(given, dim, ["k"], ["edge_id"], rows_per_task=50, force_salt=True)
+    assert out.count() == 200_000 and out.filter("v <> k + 1 or v is null").isEmpty()
+    parts = given.filter("k = -1").groupBy(F.pmod(F.xxhash64("edge_id"), F.lit(hot[0]["_parts"]))).count()
+    assert parts.agg(F.max("count")).first()[0] <= 2 * 50
 
 
 def test_dense_and_group_index(spark):

@@ -143,8 +143,8 @@ def interval_text(low: str | Column, high: str | Column) -> Column:
 
 
 def first_json_number(doc: str | Column, paths: list[str]) -> Column:
-    """First candidate path of a JSON text that holds a number."""
-    return F.coalesce(*[F.get_json_object(col(doc), f"$.{p}").try_cast("double") for p in paths])
+    """The first candidate path of a JSON text that holds a value, as a number; null if it is none."""
+    return F.coalesce(*[F.get_json_object(col(doc), f"$.{p}") for p in paths]).try_cast("double")
 
 
 def normalized_name(name: str) -> str:

@@ -22,6 +22,10 @@ FINE_GRID = [0.05 + k * ((0.95 - 0.05) / 90) for k in range(90)] + [0.95]
 
 
 def confusion(df: DataFrame, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """Counts of the four cells. A row without score or label fits none and stops the job."""
+    broken = F.col("score").isNull() | F.col("label").isNull()
+    stop = F.raise_error(F.lit("a row lacks its score or label"))
+    df = df.withColumn("score", F.when(broken, stop.cast("double")).otherwise(F.col("score")))
     hit = F.col("score") >= F.lit(float(threshold))
     positive = F.col("label") == 1
     counts = {

@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewright.session import broadcast_limit, planned_bytes
 
-# A key is hot when it holds more than this share, so there are at most 1/share hot keys.
-HOT_SHARE = 1 / 1000
-SALTS = 64
+# Rows of one key that a task should hold; a key with more is dealt over as many parts as that takes.
+ROWS_PER_TASK = 2_000_000
+# No more hot keys than this are told apart, and their table is as small as that.
+MAX_HOT_KEYS = 200_000
 
 
-def hot_keys(rows: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows: never more than ``1/share`` of them."""
+def hot_keys(rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more than ``rows_per_task`` rows and the number of ``_parts`` they are dealt over.
+
+    Beyond ``MAX_HOT_KEYS`` times ``rows_per_task`` rows in all, the limit grows so that no
+    more keys than that can pass it.
+    """
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n"))
-    return counts.filter(F.col("_n") > total.scalar() * F.lit(share)).select(*keys)
+    total = counts.agg(F.sum("_n")).scalar()
+    limit = F.greatest(F.lit(rows_per_task).cast("double"), total / F.lit(MAX_HOT_KEYS))
+    return counts.filter(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
 
 
 def lookup(
@@ -24,7 +30,7 @@ def lookup(
     on: list[str],
     spread_by: list[str],
     how: str = "left",
-    salts: int = SALTS,
+    rows_per_task: int = ROWS_PER_TASK,
     force_salt: bool = False,
     count_on: DataFrame | None = None,
 ) -> DataFrame:
@@ -32,23 +38,20 @@ def lookup(
 
     A dimension below the session's broadcast limit goes the broadcast way that
     Catalyst picks by the same size check. Beyond it, rows of hot keys are dealt
-    over ``salts`` sub-keys by a hash of ``spread_by`` and the matching dimension
-    rows, at most ``salts / HOT_SHARE`` of them, are repeated. Hot keys are counted on
+    over sub-keys by a hash of ``spread_by``, and the matching dimension rows are repeated
+    as often: one for every ``rows_per_task`` rows of the key. Hot keys are counted on
     ``count_on`` where ``rows`` is costly to compute twice but keeps its keys.
     """
     spark = rows.sparkSession
     if not force_salt and planned_bytes(dim) <= broadcast_limit(spark):
         return rows.join(dim, on, how)
-    marked = hot_keys(rows if count_on is None else count_on, on).withColumn("_hot", F.lit(True))
-    # At most 1/HOT_SHARE rows, whatever the size of the data.
-    marked = F.broadcast(marked)
-    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = rows.join(marked, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = dim.join(marked, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted.drop("_hot").join(repeated, [*on, "_salt"], how).drop("_salt")
+    # At most MAX_HOT_KEYS rows, whatever the size of the data.
+    marked = F.broadcast(hot_keys(rows if count_on is None else count_on, on, rows_per_task))
+    spread = F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int")
+    salted = rows.join(marked, on, "left").withColumn("_salt", F.coalesce(spread, F.lit(0)))
+    copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    repeated = dim.join(marked, on, "left").withColumn("_salt", F.explode(copies)).drop("_parts")
+    return salted.drop("_parts").join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def lookup_as(

@@ -10,7 +10,7 @@ from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,7 +18,6 @@ from tracewright.functions.columns import hash_key
 from tracewright.operators import evaluation
 from tracewright.operators.features import (
     class_weights,
-    encoder_stages,
     positive_weight,
     require_feature_order,
     weight_column,
@@ -32,6 +31,10 @@ EVENT_NUMBERS = ["bytes_in", "bytes_out", "event_hour", "is_business_hour"]
 EVENT_CATEGORIES = ["user_id", "host_id", "process_name", "event_type", "source_ip", "destination_ip"]
 
 
+# Places for the categories of an event.
+HASH_BITS = 16
+
+
 def _numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
@@ -56,11 +59,16 @@ def fit_logistic(
     train: DataFrame, numeric: list[str], categorical: list[str] | None = None,
     label: str = "label", max_iter: int = 1000,
 ) -> PipelineModel:
-    """Balanced logistic regression on scaled numbers and one-hot categories."""
+    """Balanced logistic regression on scaled numbers and hashed categories.
+
+    Names and addresses have any number of values, so ``2 ** HASH_BITS`` hashed places stand for
+    them and nothing is gathered on the driver; a value not seen in training has its place too.
+    """
     categorical = categorical or []
     rows, total = _balanced(_numbers(train, numeric), label)
-    stages = encoder_stages(categorical) if categorical else []
-    stages += _scaling_stages(numeric, [f"{c}_hot" for c in categorical])
+    hashed = FeatureHasher(inputCols=categorical, outputCol="_hashed", numFeatures=1 << HASH_BITS)
+    stages = [hashed] if categorical else []
+    stages += _scaling_stages(numeric, ["_hashed"] if categorical else [])
     stages.append(LogisticRegression(
         labelCol=label, weightCol="_weight", maxIter=max_iter, regParam=1.0 / total,
         standardization=False,
@@ -69,7 +77,7 @@ def fit_logistic(
 
 
 def fit_boosted_trees(
-    train: DataFrame, numeric: list[str], label: str = "label", rounds: int = 100, seed: int = 42
+    train: DataFrame, numeric: list[str], label: str = "label", rounds: int = 1000, seed: int = 42
 ) -> PipelineModel:
     """Boosted trees of depth 4 with the positive class weighted by negatives per positive."""
     ratio = positive_weight(train, label)
@@ -95,7 +103,7 @@ def oversampled(train: DataFrame, key: list[str], label: str, seed: int = 42) ->
 
 def fit_mlp(
     train: DataFrame, numeric: list[str], label: str = "label", hidden: tuple[int, ...] = (64, 32),
-    max_iter: int = 100, seed: int = 42, initial_weights=None,
+    max_iter: int = 300, seed: int = 42, initial_weights=None,
 ) -> PipelineModel:
     net = MultilayerPerceptronClassifier(
         labelCol=label, layers=[len(numeric), *hidden, 2], maxIter=max_iter, seed=seed

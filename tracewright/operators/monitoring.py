@@ -6,7 +6,9 @@ import platform
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType
+from pyspark.sql.types import (
+    ArrayType, BooleanType, DoubleType, FloatType, MapType, NumericType, StringType, StructType,
+)
 
 from tracewright.operators.ordered import CHUNK, POSITION, chunked
 from tracewright.operators.profile import count_tables
@@ -76,13 +78,16 @@ def numeric_drift(reference: DataFrame, current: DataFrame, columns: list[str])
     distances = points.groupBy("field").agg(
         F.max(gap).alias("ks_distance"), F.coalesce(F.sum(gap * F.col("width")), F.lit(0.0)).alias("area")
     )
-    spread = cut.filter("ref > 0").groupBy("field").agg(
+    # The deviation takes a second pass around the mean: squares of values far from zero would lose it.
+    ends = cut.filter("ref > 0").groupBy("field").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"),
-        F.sqrt(F.greatest(
-            F.sum(F.col("ref") * F.col("value") * F.col("value")) / F.sum("ref")
-            - F.pow(F.sum(F.col("ref") * F.col("value")) / F.sum("ref"), 2), F.lit(0.0),
-        )).alias("std"),
+        (F.sum(F.col("ref") * F.col("value")) / F.sum("ref")).alias("mean"),
     )
+    off = F.col("value") - F.col("mean")
+    deviation = cut.filter("ref > 0").join(F.broadcast(ends), "field").groupBy("field").agg(
+        F.sqrt(F.sum(F.col("ref") * off * off) / F.sum("ref")).alias("std")
+    )
+    spread = ends.join(deviation, "field").drop("mean")
     place = F.least(F.greatest(
         F.floor((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * PSI_BINS),
         F.lit(0)), F.lit(PSI_BINS - 1))
@@ -260,17 +265,21 @@ def append_run_rows(rows: DataFrame, root: str) -> None:
     rows.write.mode("append").parquet(f"{root.rstrip('/')}/metadata/runs")
 
 
+def _json_safe(ref, kind):
+    """``ref`` with null for NaN and infinities at every depth."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(ref) & (F.abs(ref) < F.lit(float("inf"))), ref)
+    if isinstance(kind, ArrayType):
+        return F.transform(ref, lambda x: _json_safe(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(ref, lambda _, x: _json_safe(x, kind.valueType))
+    if isinstance(kind, StructType):
+        inner = F.struct(*[_json_safe(ref[g.name], g.dataType).alias(g.name) for g in kind.fields])
+        return F.when(ref.isNotNull(), inner)
+    return ref
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """One JSON text per row, with NaN turned to null at the top level and in one level of structs."""
-    def clean(kind: str, ref):
-        return F.when(~F.isnan(ref), ref) if kind in ("double", "float") else ref
-
-    columns = []
-    for f in df.schema.fields:
-        ref = F.col(f"`{f.name}`")
-        if f.dataType.typeName() == "struct":
-            inner = [clean(g.dataType.simpleString(), ref[g.name]).alias(g.name) for g in f.dataType.fields]
-            columns.append(F.struct(*inner).alias(f.name))
-        else:
-            columns.append(clean(f.dataType.simpleString(), ref).alias(f.name))
+    """One JSON text per row, with NaN and infinities turned to null in fields, arrays, maps and structs."""
+    columns = [_json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
     return df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("document"))

@@ -9,18 +9,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tracewright.session import materialize
+from tracewright.operators.joins import lookup
+from tracewright.session import input_bytes, materialize
 
 CHUNK, POSITION = "_chunk", "_position"
 
 
-def _name(expr: str | Column) -> str:
-    return expr if isinstance(expr, str) else str(expr)
+# Input bytes for one sorted chunk.
+CHUNK_BYTES = 256 << 20
+
+
+def chunk_count(df: DataFrame) -> int:
+    """As many chunks as the input needs, and no fewer than the session's shuffle partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // CHUNK_BYTES))
 
 
 def chunked(df: DataFrame, order: list, partitions: int | None = None) -> DataFrame:
     """``df`` plus its chunk number and row position; chunks follow ``order``."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or chunk_count(df)
     marked = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
@@ -57,7 +63,7 @@ def group_index(df: DataFrame, group: list[str], order: list, name: str) -> Data
     rows = dense_index(df, [*group, *order], "_index")
     starts = rows.groupBy(*group).agg(F.min("_index").alias("_start"))
     return (
-        rows.join(starts, group)
+        lookup(rows, starts, group, ["_index"], "inner")
         .withColumn(name, F.col("_index") - F.col("_start"))
         .select(*df.columns, name)
     )

@@ -13,8 +13,8 @@ TRAIN_SHARE, VALIDATION_SHARE = 0.70, 0.15
 RELATION = ["split", "source_node_id", "edge_type", "destination_node_id"]
 # Rows of one relation that a single task may sort.
 ROWS_PER_KEY = 1_000_000
-# So many keys at most can pass the size test below.
-HOT_KEY_LIMIT = 10_000
+# So many keys at most can pass the size test below; their table stays small enough to broadcast.
+HOT_KEY_LIMIT = 200_000
 
 
 def chronological_cuts(

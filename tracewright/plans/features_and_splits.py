@@ -65,28 +65,35 @@ def edge_features_safe_fit(spark, sf_dir):
     return _rounded(out, ["timestamp_scaled"])
 
 
-def _manifest_row(position: int, name: str, kind: str, key: bool, target: bool, source: str) -> str:
-    return (
-        f"SELECT CAST({position} AS INTEGER) AS position, '{name}' AS field, '{kind}' AS kind, "
-        f"{not key and not target} AS model_input, {target} AS target, '{source}' AS source_column, "
-        "false AS marks_ground_truth WHERE (SELECT count(*) FROM edge_table) > 0"
-    )
-
-
+# field, kind, model input, target, source column; positions follow the order.
 _EDGE_FIELDS = [
-    ("edge_id", "string", True, False, "edge_id"), ("source_node_id", "bigint", True, False, "source_node_id"),
-    ("destination_node_id", "bigint", True, False, "destination_node_id"),
-    ("timestamp_scaled", "double", False, False, "timestamp"),
-    *[(f"edge_type_{t}", "double", False, False, "edge") for t in EDGE_TYPES],
+    ("edge_id", "string", False, False, "edge_id"),
+    ("source_node_id", "bigint", False, False, "source_node_id"),
+    ("destination_node_id", "bigint", False, False, "destination_node_id"),
+    ("timestamp_scaled", "double", True, False, "timestamp"),
+    *[(f"edge_type_{t}", "double", True, False, "edge_type") for t in EDGE_TYPES],
     ("label", "bigint", False, True, "label"),
 ]
+_FIELD_ROWS = ",\n  ".join(
+    f"({i}, '{name}', '{kind}', {used}, {target}, '{source}', false, false)"
+    for i, (name, kind, used, target, source) in enumerate(_EDGE_FIELDS)
+)
 
 
-@query("feature_manifest", sql(" UNION ALL ".join(
-    _manifest_row(i, *field) for i, field in enumerate(_EDGE_FIELDS))))
+@query("feature_manifest", sql(f"""
+SELECT CAST(position AS INTEGER) AS position, field, kind, model_input, target, source_column, marks_ground_truth,
+       dropped, (SELECT count(*) FROM edge_table) AS table_rows
+FROM (VALUES
+  {_FIELD_ROWS},
+  (NULL, 'edge_type_redteam_ground_truth', NULL, false, false, 'edge_type', true, true)
+) AS t(position, field, kind, model_input, target, source_column, marks_ground_truth, dropped)"""))
 def feature_manifest(spark, sf_dir):
     table = features.edge_features(testbed.edges(spark, sf_dir))
-    return features.feature_manifest(table, ["edge_id", "source_node_id", "destination_node_id"])
+    return features.feature_manifest(
+        table, ["edge_id", "source_node_id", "destination_node_id"],
+        origins={"timestamp_scaled": "timestamp", "edge_type_*": "edge_type"},
+        dropped=["edge_type_redteam_ground_truth"],
+    )
 
 
 @query("category_ids", sql("""
@@ -131,10 +138,10 @@ def safe_node_statistics(spark, sf_dir):
 
 
 @query("safe_node_features", sql("""
-SELECT node_id, entity_type, label, round(ln(1 + outgoing_count), 6) AS log_outgoing,
-       round(ln(1 + incoming_count), 6) AS log_incoming, round(ln(1 + unique_neighbor_count), 6) AS log_neighbors,
-       round(ln(1 + total_event_count), 6) AS log_total, round(ln(1 + activity_duration), 6) AS log_duration,
-       round(first_seen / top, 6) AS first_seen_share, round(last_seen / top, 6) AS last_seen_share
+SELECT node_id, entity_type, label, round(ln(1 + outgoing_count), 6) AS log_outgoing_event_count,
+       round(ln(1 + incoming_count), 6) AS log_incoming_event_count, round(ln(1 + unique_neighbor_count), 6) AS log_unique_neighbor_count,
+       round(ln(1 + total_event_count), 6) AS log_total_event_count, round(ln(1 + activity_duration), 6) AS log_activity_duration,
+       round(first_seen / top, 6) AS normalized_first_seen, round(last_seen / top, 6) AS normalized_last_seen
 FROM safe_stats, (SELECT CAST(greatest(max("timestamp"), 1) AS DOUBLE) AS top FROM safe_edge_table)"""))
 def safe_node_features(spark, sf_dir):
     out = features.safe_node_features(testbed.enriched_nodes(spark, sf_dir), testbed.edges(spark, sf_dir))
@@ -301,8 +308,8 @@ STANDARD = ["flow_duration", "flow_bytes_per_s", "fwd_iat_mean"]
 SELECT node_id, """ + ", ".join(
     f"round((log_{c} - m_{c}) / nullif(s_{c}, 0), 5) AS log_{c}" for c in ("outgoing", "incoming", "total")
 ) + """
-FROM (SELECT n.node_id, split, ln(1 + outgoing_count) AS log_outgoing, ln(1 + incoming_count) AS log_incoming,
-             ln(1 + total_event_count) AS log_total
+FROM (SELECT n.node_id, split, ln(1 + outgoing_count) AS log_outgoing_event_count, ln(1 + incoming_count) AS log_incoming_event_count,
+             ln(1 + total_event_count) AS log_total_event_count
       FROM safe_stats n JOIN node_three_way s ON s.node_id = n.node_id),
      (SELECT """ + ", ".join(
     f"avg(ln(1 + {c}_{k}count)) AS m_{c}, stddev_pop(ln(1 + {c}_{k}count)) AS s_{c}"
@@ -312,7 +319,7 @@ def standardized_safe_features(spark, sf_dir):
     """Scaling fitted on training nodes only."""
     rows = features.safe_node_features(testbed.enriched_nodes(spark, sf_dir), testbed.edges(spark, sf_dir))
     marked = rows.join(node_split(spark, sf_dir).select("node_id", "split"), "node_id")
-    columns = ["log_outgoing", "log_incoming", "log_total"]
+    columns = ["log_outgoing_event_count", "log_incoming_event_count", "log_total_event_count"]
     out = features.standardized(marked, columns, F.col("split") == "train")
     return out.select("node_id", *[F.round(c, 5).alias(c) for c in columns])
 

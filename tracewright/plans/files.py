@@ -15,7 +15,7 @@ from tracewright.plans.reference_sql import sql
 from tracewright.plans.registry import query
 from tracewright.operators.features import normalized_columns
 from tracewright.schemas import raw_columns
-from tracewright.session import app_dir
+from tracewright.session import app_dir, materialize
 from tracewright.sources import raw_logs, tables, testbed
 
 
@@ -24,29 +24,35 @@ def _folder(spark, label: str) -> str:
 
 
 def _register_landing(kind: str) -> None:
+    listed = ", ".join(f'"{c}"' for c in raw_columns(kind))
+
     @query(f"land_files_{kind}", sql(f"""
-SELECT count(*) AS rows, CAST(0 AS BIGINT) AS repeated_numbers, CAST(0 AS BIGINT) AS missing_numbers,
-       CAST(sum(CAST("timestamp" AS BIGINT)) AS BIGINT) AS time_sum FROM raw_{kind}"""))
+SELECT {listed}, '{raw_logs.FAMILIES[kind]}' AS event_family, CAST(0 AS BIGINT) AS misnumbered FROM raw_{kind}"""))
     def land(spark, sf_dir):
-        """Compressed log files, landed with row numbers that must be 0..n-1 in every file."""
+        """Compressed log files landed whole; ``misnumbered`` counts numbers that are not 0..n-1 in the row's file."""
         folder = _folder(spark, f"logs-{kind}")
         testbed.landed(spark, sf_dir, kind).select(raw_columns(kind)).write.option(
             "compression", "gzip").csv(folder)
-        rows = raw_logs.land(spark, f"{folder}/*.csv.gz", kind, max_rows=None)
+        rows = materialize(raw_logs.land(spark, f"{folder}/*.csv.gz", kind), "landed")
         per_file = rows.groupBy("source_file").agg(
-            F.count("*").alias("n"), F.countDistinct("row_number").alias("d"),
-            F.max("row_number").alias("top"), F.sum(F.col("timestamp").cast("bigint")).alias("t"),
-        )
-        return per_file.agg(
-            F.sum("n").alias("rows"), F.sum(F.col("n") - F.col("d")).alias("repeated_numbers"),
-            F.sum(F.col("top") + 1 - F.col("n")).alias("missing_numbers"), F.sum("t").alias("time_sum"),
+            (F.max("row_number") + 1 - F.count("*") + F.count("*") - F.countDistinct("row_number")).alias("misnumbered"),
         )
+        return rows.join(per_file, "source_file").select(*raw_columns(kind), "event_family", "misnumbered")
 
 
 for _kind in ("auth", "dns", "flows", "proc", "redteam"):
     _register_landing(_kind)
 
 
+@query("land_first_rows", sql("""
+SELECT row_number, "timestamp", source_host, resolved_host FROM raw_dns WHERE row_number < 100"""))
+def land_first_rows(spark, sf_dir):
+    """One log file landed with a row limit, which keeps its first rows."""
+    folder = _folder(spark, "limited")
+    testbed.landed(spark, sf_dir, "dns").orderBy("row_number").coalesce(1).select(raw_columns("dns")).write.csv(folder)
+    return raw_logs.land(spark, folder, "dns", max_rows=100).select("row_number", "timestamp", "source_host", "resolved_host")
+
+
 @query("landing_manifest", sql(" UNION ALL ".join(
     f"SELECT '{k}' AS kind, '{f}' AS event_family, count(*) AS row_count, CAST({n} AS INTEGER) AS column_count FROM raw_{k}"
     for k, f, n in (("auth", "authentication", 12), ("dns", "dns", 6), ("flows", "network_flow", 12),
@@ -56,7 +62,7 @@ def landing_manifest(spark, sf_dir):
     kinds = list(raw_logs.FAMILIES)
     for kind in kinds:
         testbed.landed(spark, sf_dir, kind).select(raw_columns(kind)).write.csv(f"{folder}/{kind}")
-    out = raw_logs.land_all(spark, folder, f"{folder}/bronze", {k: k for k in kinds}, max_rows=None)
+    out = raw_logs.land_all(spark, folder, f"{folder}/bronze", {k: k for k in kinds})
     return out.select("kind", "event_family", "row_count", "column_count")
 
 
@@ -119,11 +125,15 @@ def weak_component_summary(spark, sf_dir):
 
 @query("graph_key_values", sql("""
 SELECT metric, value FROM (UNPIVOT (
-  SELECT (SELECT count(*) FROM enriched) AS node_rows, count(*) AS edge_rows FROM edge_table)
-  ON node_rows, edge_rows INTO NAME metric VALUE value)"""))
+  SELECT (SELECT count(*) FROM enriched) AS node_rows, (SELECT count(DISTINCT node_id) FROM enriched) AS unique_node_ids,
+         count(*) AS edge_rows, count(DISTINCT edge_id) AS unique_edge_ids,
+         count(*) FILTER (WHERE known) AS valid_edge_rows, count(*) FILTER (WHERE NOT known) AS invalid_edge_rows
+  FROM (SELECT edge_id, source_node_id IN (SELECT node_id FROM enriched)
+               AND destination_node_id IN (SELECT node_id FROM enriched) AS known FROM edge_table))
+  ON node_rows, unique_node_ids, edge_rows, unique_edge_ids, valid_edge_rows, invalid_edge_rows
+  INTO NAME metric VALUE value)"""))
 def graph_key_values(spark, sf_dir):
-    table = profile.key_value_table(profile.basic_profile(*_graph(spark, sf_dir)))
-    return table.filter(F.col("metric").isin("node_rows", "edge_rows"))
+    return profile.key_value_table(profile.basic_profile(*_graph(spark, sf_dir)))
 
 
 @query("approximate_degree_summary")

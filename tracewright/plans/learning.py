@@ -1,9 +1,10 @@
-"""Queries that generate, fit, score and report."""
+"""Queries that fit, score and report."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright.functions.columns import business_hour
 from tracewright.operators import (
     evaluation,
     features,
@@ -18,62 +19,39 @@ from tracewright.plans.features_and_splits import FLOW_FEATURES, flow_table
 from tracewright.plans.metrics import rounded, scored
 from tracewright.plans.reference_sql import cte, sql
 from tracewright.plans.registry import query
-from tracewright.sources import synthetic, testbed
+from tracewright.sources import testbed
 from tracewright.session import app_dir, materialize
 
-# ---------------------------------------------------------------- synthetic events, one per order
+# ---------------------------------------------------------------- the event table as scoring rows
 
 
-def _draw(tag: str, k: int) -> str:
-    return f"(CAST('0x' || substr(md5('42|{tag}|' || i), 1, 12) AS BIGINT) % {k})"
-
-
-def _pick(tag: str, values: list[str]) -> str:
-    listed = ", ".join(f"'{v}'" for v in values)
-    return f"([{listed}])[{_draw(tag, len(values))} + 1]"
-
-
-def _behaviour_sql(b: synthetic.Behaviour) -> str:
-    hours = f"([{', '.join(map(str, b.hours))}])[{_draw('hour', len(b.hours))} + 1]"
-    (a, z), (o, p) = b.bytes_in, b.bytes_out
-    return f"""
-SELECT i, {hours} AS h, {_pick('process', b.processes)} AS process_name, {_pick('type', b.event_types)} AS event_type,
-       CASE WHEN {_draw('outside', 100)} < {b.external_percent} THEN '203.0.113.' || ({_draw('far', 10)} + 1)
-            ELSE '10.0.0.' || ({_draw('near', 20)} + 1) END AS destination_ip,
-       {_draw('in', z - a + 1)} + {a} AS bytes_in, {_draw('out', p - o + 1)} + {o} AS bytes_out,
-       CAST({b.label} AS INTEGER) AS label
-FROM order_rows WHERE {'i < cut' if b.label else 'i >= cut'}"""
-
-
-cte("order_rows", """
-SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i,
-       CAST(floor((count(*) OVER ()) * CAST(0.12 AS DOUBLE)) AS BIGINT) AS cut FROM orders
-""")
-cte("behaved", _behaviour_sql(synthetic.NORMAL) + "\nUNION ALL" + _behaviour_sql(synthetic.SUSPICIOUS))
-
-
-@query("synthetic_events", sql(f"""
-SELECT i, strftime(TIMESTAMP '2026-01-01' + to_days(CAST({_draw('day', 7)} AS INTEGER)) + to_hours(h)
-         + to_minutes({_draw('minute', 60)}) + to_seconds({_draw('second', 60)}), '%Y-%m-%dT%H:%M:%S') AS "timestamp",
-       printf('user_%03d', {_draw('user', 50)}) AS user_id, printf('host_%03d', {_draw('host', 20)}) AS host_id,
-       process_name, event_type, '10.0.0.' || ({_draw('source', 20)} + 1) AS source_ip, destination_ip,
-       bytes_in, bytes_out, CAST(h AS INTEGER) AS event_hour, h >= 8 AND h < 18 AS is_business_hour, label
-FROM behaved"""))
-def synthetic_events(spark, sf_dir):
-    orders = testbed.table(spark, sf_dir, "orders").select("o_orderkey")
-    settings = synthetic.Settings(num_events=orders.count())
-    return synthetic.events_over(dense_index(orders, ["o_orderkey"], "i"), "i", settings, ["i"])
+def event_rows(spark, sf_dir):
+    """Events with the columns that a scorer takes; errors stand for what it should find."""
+    hour = F.hour("ts")
+    return testbed.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("i"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        F.concat(F.lit("user_"), "user_id").alias("user_id"), F.concat(F.lit("host_"), F.col("user_id") % 20).alias("host_id"),
+        F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")).alias("process_name"), "event_type",
+        F.concat(F.lit("10.0.0."), F.col("user_id") % 250).alias("source_ip"),
+        F.concat(F.lit("10.0.1."), F.col("event_id") % 250).alias("destination_ip"),
+        F.floor(F.abs("value")).cast("bigint").alias("bytes_in"), F.length("props").cast("bigint").alias("bytes_out"),
+        hour.alias("event_hour"), business_hour(hour).alias("is_business_hour"),
+        (F.col("event_type") == "error").cast("int").alias("label"),
+    )
 
 
 def _event_split(spark, sf_dir):
-    events = materialize(synthetic_events(spark, sf_dir), "synthetic")
-    return materialize(splits.stratified_split(events, ["i"], "label"), "events_split")
+    return materialize(splits.stratified_split(event_rows(spark, sf_dir), ["i"], "label"), "events_split")
 
 
 def _event_model(split):
-    return models.fit_logistic(
-        split.filter("split = 'train'"), models.EVENT_NUMBERS, models.EVENT_CATEGORIES, max_iter=50
-    )
+    return models.fit_logistic(split.filter("split = 'train'"), models.EVENT_NUMBERS, models.EVENT_CATEGORIES)
+
+
+def event_test_metrics(spark, sf_dir):
+    split = _event_split(spark, sf_dir)
+    held = models.scored(_event_model(split), split.filter("split = 'test'"), models.EVENT_NUMBERS)
+    return models.evaluate(materialize(held, "scored"))
 
 
 @query("event_hours", """
@@ -81,8 +59,6 @@ SELECT event_id, CAST(hour(ts) AS INTEGER) AS event_hour, hour(ts) >= 8 AND hour
        hour(ts) >= 8 AND hour(ts) <= 18 AS is_business_hour_inclusive
 FROM events""")
 def event_hours(spark, sf_dir):
-    from tracewright.functions.columns import business_hour
-
     hour = F.hour("ts")
     return testbed.table(spark, sf_dir, "events").select(
         "event_id", hour.alias("event_hour"), business_hour(hour).alias("is_business_hour"),
@@ -108,10 +84,7 @@ def scoring_input_checks(spark, sf_dir):
 
 @query("fit_event_logistic")
 def fit_event_logistic(spark, sf_dir):
-    split = _event_split(spark, sf_dir)
-    model = _event_model(split)
-    held = models.scored(model, split.filter("split = 'test'"), models.EVENT_NUMBERS)
-    return models.evaluate(materialize(held, "scored"))
+    return event_test_metrics(spark, sf_dir)
 
 
 @query("score_events")
@@ -124,7 +97,7 @@ def score_events(spark, sf_dir):
 @query("saved_model_scores")
 def saved_model_scores(spark, sf_dir):
     split = _flows(spark, sf_dir)
-    model = models.fit_logistic(split.filter("split = 'train'"), FLOW_FEATURES, label="target", max_iter=30)
+    model = models.fit_logistic(split.filter("split = 'train'"), FLOW_FEATURES, label="target")
     path = f"{app_dir(spark)}/flow-model"
     models.save_model(model, path, FLOW_FEATURES, 0.5, trained_on="flows")
     return models.score_table(path, split.filter("split = 'test'"), "target")
@@ -146,7 +119,7 @@ def _flow_metrics(model, split):
 def fit_flow_logistic(spark, sf_dir):
     split = _flows(spark, sf_dir)
     return _flow_metrics(
-        models.fit_logistic(split.filter("split = 'train'"), FLOW_FEATURES, label="target", max_iter=50), split
+        models.fit_logistic(split.filter("split = 'train'"), FLOW_FEATURES, label="target"), split
     )
 
 
@@ -154,7 +127,7 @@ def fit_flow_logistic(spark, sf_dir):
 def fit_flow_boosted_trees(spark, sf_dir):
     split = _flows(spark, sf_dir)
     return _flow_metrics(
-        models.fit_boosted_trees(split.filter("split = 'train'"), FLOW_FEATURES, "target", rounds=5), split
+        models.fit_boosted_trees(split.filter("split = 'train'"), FLOW_FEATURES, "target"), split
     )
 
 
@@ -162,21 +135,21 @@ def fit_flow_boosted_trees(spark, sf_dir):
 def fit_flow_mlp(spark, sf_dir):
     split = _flows(spark, sf_dir)
     return _flow_metrics(
-        models.fit_mlp(split.filter("split = 'train'"), FLOW_FEATURES, "target", max_iter=10), split
+        models.fit_mlp(split.filter("split = 'train'"), FLOW_FEATURES, "target"), split
     )
 
 
 @query("fit_flow_mlp_history")
 def fit_flow_mlp_history(spark, sf_dir):
     split = _flows(spark, sf_dir)
-    run = models.fit_mlp_with_history(split, ["row_id"], FLOW_FEATURES, "target", steps=2, iterations=5)
+    run = models.fit_mlp_with_history(split, ["row_id"], FLOW_FEATURES, "target")
     return run.history.withColumn("best_epoch", F.lit(run.best_epoch))
 
 
 @query("seed_run_summary")
 def seed_run_summary(spark, sf_dir):
     table = _flows(spark, sf_dir).drop("split")
-    runs = models.seed_runs(table, ["row_id"], FLOW_FEATURES, "target", seeds=(1, 2), max_iter=5)
+    runs = models.seed_runs(table, ["row_id"], FLOW_FEATURES, "target")
     return reports.seed_stability_table(evaluation.run_summary(runs, models.SEED_METRICS))
 
 
@@ -196,7 +169,7 @@ def _hop_columns(hops: int) -> list[str]:
 def fit_node_classifier(spark, sf_dir):
     table = _node_table(spark, sf_dir, 2)
     model, chosen = models.fit_node_classifier(
-        table, {k: _hop_columns(k) for k in (1, 2)}, strengths=(0.01,), max_iter=30
+        table, {k: _hop_columns(k) for k in (1, 2)}
     )
     held = models.scored(model, table.filter("split = 'test'"), chosen["columns"])
     return models.evaluate(materialize(held, "scored")).withColumn("chosen", F.lit(chosen["candidate"]))
@@ -208,7 +181,7 @@ def typed_node_heads(spark, sf_dir):
     base = features.safe_node_features(nodes, edges).select("node_id", *features.SAFE_FEATURES)
     table = materialize(splits.typed_node_split(nodes).select(
         "node_id", "entity_type", "label", "split").join(base, "node_id"), "typed")
-    pooled = materialize(models.typed_heads(table, features.SAFE_FEATURES, max_iter=30), "pooled")
+    pooled = materialize(models.typed_heads(table, features.SAFE_FEATURES), "pooled")
     best = evaluation.best_f1_threshold(pooled.filter("split = 'validation'"))
     return models.evaluate(pooled.filter("split = 'test'"), best).withColumn("threshold", F.lit(best))
 

@@ -10,11 +10,11 @@ from tracewright.plans.reference_sql import cte, sql
 from tracewright.plans.registry import query
 from tracewright.sources import testbed
 
-COLUMNS = ["log_outgoing", "log_incoming", "last_seen_share"]
+COLUMNS = ["log_outgoing_event_count", "log_incoming_event_count", "normalized_last_seen"]
 
 cte("x", """
-SELECT node_id, ln(1 + outgoing_count) AS log_outgoing, ln(1 + incoming_count) AS log_incoming,
-       last_seen / (SELECT CAST(greatest(max("timestamp"), 1) AS DOUBLE) FROM safe_edge_table) AS last_seen_share
+SELECT node_id, ln(1 + outgoing_count) AS log_outgoing_event_count, ln(1 + incoming_count) AS log_incoming_event_count,
+       last_seen / (SELECT CAST(greatest(max("timestamp"), 1) AS DOUBLE) FROM safe_edge_table) AS normalized_last_seen
 FROM safe_stats
 """)
 

@@ -8,7 +8,8 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from tracewright.operators import monitoring, ordered
-from tracewright.plans.learning import synthetic_events
+from tracewright.functions.columns import first_json_number
+from tracewright.plans.learning import event_rows, event_test_metrics
 from tracewright.plans.metrics import rounded, scored
 from tracewright.plans.reference_sql import cte, sql
 from tracewright.plans.registry import query
@@ -120,10 +121,11 @@ def table_manifest(spark, sf_dir):
 
 @query("lineage_manifest")
 def lineage_manifest(spark, sf_dir):
+    f1 = event_test_metrics(spark, sf_dir).first()["f1"]
     return monitoring.lineage_manifest(
-        synthetic_events(spark, sf_dir), {"model_name": "event_logistic", "model_type": "logistic"},
-        {"max_iter": "50"}, {"f1": 1.0}, {"provider": "parquet", "feature_view_name": "events"},
-        "tracewright.plans.learning", "fit_event_logistic", f"{sf_dir}/orders.parquet",
+        event_rows(spark, sf_dir), {"model_name": "event_logistic", "model_type": "logistic"},
+        {"max_iter": "1000"}, {"f1": f1}, {"provider": "parquet", "feature_view_name": "events"},
+        "tracewright.plans.learning", "fit_event_logistic", f"{sf_dir}/events.parquet",
     )
 
 
@@ -140,12 +142,46 @@ def scalar_metrics(spark, sf_dir):
 
 
 @query("json_safe_rows", """
-SELECT '{"event_id":' || event_id || ',"small":' || (value < 50) || '}' AS document FROM events""")
+SELECT '{"event_id":' || event_id || ',"top":' || safe || ',"list":[' || safe || ',1.0],"deep":{"inner":{"x":' || safe
+       || '}},"named":{"k":' || safe || '}}' AS document
+FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '0.5' ELSE 'null' END AS safe FROM events)""")
 def json_safe_rows(spark, sf_dir):
-    rows = testbed.table(spark, sf_dir, "events").select("event_id", (F.col("value") < 50).alias("small"))
+    """NaN and infinity in a field, an array, a struct in a struct and a map."""
+    x = F.when(F.col("event_id") % 3 == 0, 0.5).when(F.col("event_id") % 3 == 1, float("nan")).otherwise(float("inf"))
+    rows = testbed.table(spark, sf_dir, "events").select(
+        "event_id", x.alias("top"), F.array(x, F.lit(1.0)).alias("list"),
+        F.struct(F.struct(x.alias("x")).alias("inner")).alias("deep"), F.create_map(F.lit("k"), x).alias("named"),
+    )
     return monitoring.json_safe(rows)
 
 
+@query("json_first_path", """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1.5::DOUBLE WHEN event_id % 3 = 2 THEN 2.5::DOUBLE END AS number FROM events""")
+def json_first_path(spark, sf_dir):
+    """The first path that holds anything decides, also where that is no number."""
+    doc = F.when(F.col("event_id") % 3 == 0, '{"a": 1.5, "b": 2.5}').when(F.col("event_id") % 3 == 1, '{"a": "x", "b": 2.5}')
+    rows = testbed.table(spark, sf_dir, "events").select("event_id", doc.otherwise('{"b": 2.5}').alias("doc"))
+    return rows.select("event_id", first_json_number("doc", ["a", "b"]).alias("number"))
+
+
+@query("drift_far_from_zero", """
+WITH given AS (SELECT CAST(l_orderkey AS DOUBLE) + 1700000000 AS v, l_linenumber % 2 = 1 AS is_ref FROM lineitem),
+n AS (SELECT CAST(count(*) FILTER (WHERE is_ref) AS DOUBLE) AS nr, CAST(count(*) FILTER (WHERE NOT is_ref) AS DOUBLE) AS nc,
+             stddev_pop(v - 1700000000) FILTER (WHERE is_ref) AS spread FROM given),
+steps AS (SELECT v, sum(sum(CAST(is_ref AS INTEGER))) OVER w AS r, sum(sum(CAST(NOT is_ref AS INTEGER))) OVER w AS c,
+                 lead(v) OVER (ORDER BY v) - v AS width FROM given GROUP BY v WINDOW w AS (ORDER BY v))
+SELECT 'shifted' AS field, round(max(abs(r / nr - c / nc)), 6) AS ks_distance,
+       round(sum(abs(r / nr - c / nc) * coalesce(width, 0)) / max(spread), 6) AS wasserstein
+FROM steps, n""")
+def drift_far_from_zero(spark, sf_dir):
+    """Order keys moved to where epoch times lie: the distance must not depend on the shift."""
+    rows = testbed.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") + 1_700_000_000).cast("double").alias("shifted"), (F.col("l_linenumber") % 2 == 1).alias("is_ref")
+    )
+    found = monitoring.numeric_drift(rows.filter("is_ref"), rows.filter("not is_ref"), ["shifted"])
+    return rounded(found.select("field", "ks_distance", "wasserstein"))
+
+
 # ---------------------------------------------------------------- streams over the landed tables
 
 

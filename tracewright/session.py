@@ -87,6 +87,17 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of what the plan reads: the sum over its leaves, which no join multiplies.
+
+    Leaves of unknown size, rows that the driver holds for one, count as nothing.
+    Like ``planned_bytes`` it asks the plan through the JVM, which Spark Connect does not offer.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}

@@ -12,9 +12,6 @@ from tracewright.operators.joins import lookup
 from tracewright.schemas import FAMILIES, TableCheckError, raw_columns, raw_schema
 from tracewright.session import materialize
 
-DEFAULT_MAX_ROWS = 1_000_000
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
@@ -27,19 +24,11 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(target).getLength()
 
 
-def check_column_count(spark: SparkSession, path: str, kind: str) -> None:
-    """Compare the first line's field count with the registered kind."""
-    line = spark.read.text(path).limit(1).first()
-    if line is None:
-        raise TableCheckError(f"{path} is empty")
-    found, wanted = len(line[0].split(",")), len(raw_columns(kind))
-    if found != wanted:
-        raise TableCheckError(f"{path} has {found} columns, {kind} needs {wanted}")
-
-
 def read_raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """All-text columns by position; the usual words for a missing value become null."""
-    check_column_count(spark, path, kind)
+    """All-text columns by position; the usual words for a missing value become null.
+
+    A line of any file with another number of columns stops a job that reads all columns.
+    """
     rows = spark.read.schema(raw_schema(kind)).csv(path, header=False, mode="FAILFAST")
     return rows.withColumns({c: missing_to_null(c) for c in rows.columns})
 
@@ -48,38 +37,55 @@ def preview(spark: SparkSession, path: str, kind: str, rows: int = 10) -> DataFr
     return read_raw(spark, path, kind).limit(rows)
 
 
-def with_row_numbers(df: DataFrame) -> DataFrame:
-    """0-based row number in file order.
+def _scanned(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The files' rows written once, each with its file, its block there and its order in the task.
 
-    A row knows its file, its split's offset and its order inside the task. Splits
-    are numbered through by one small count per split, so a large uncompressed file
-    is read in parallel and no row is moved to be numbered.
+    Everything after reads the written rows, so a scan that is cut differently the next time
+    can't separate them from their blocks' numbers.
     """
-    marked = df.select(
-        "*", F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
+    marked = read_raw(spark, path, kind).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_serial"),
     )
-    splits = marked.groupBy("_file", "_block").agg(
+    try:
+        rows = materialize(marked, "scanned")
+    except Exception as e:
+        if "MALFORMED_RECORD" not in str(e):
+            raise
+        raise TableCheckError(f"a line of {path} has not the {len(raw_columns(kind))} columns of {kind}") from e
+    if rows.isEmpty():
+        raise TableCheckError(f"{path} is empty")
+    return rows
+
+
+def with_row_numbers(scanned: DataFrame) -> DataFrame:
+    """0-based row number in file order of written rows.
+
+    Blocks are numbered through by one small count per block, so a large uncompressed file
+    is read in parallel and no row is moved to be numbered. A compressed file is one block.
+    """
+    blocks = scanned.groupBy("_file", "_block").agg(
         F.min("_serial").alias("_first"), F.count("*").alias("_n")
     )
     before = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = materialize(splits.select(
+    offsets = materialize(blocks.select(
         "_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    ), "splits")
-    return lookup(marked, offsets, ["_file", "_block"], ["_serial"], "inner").withColumn(
-        "row_number", F.col("_start") + F.col("_serial") - F.col("_first")
-    )
+    ), "blocks")
+    # Left, so that a row without its block would show as a missing number instead of going.
+    placed = lookup(scanned, offsets, ["_file", "_block"], ["_serial"], "left")
+    number = F.col("_start") + F.col("_serial") - F.col("_first")
+    lost = F.raise_error(F.lit("a row has lost its block")).cast("bigint")
+    return placed.withColumn("row_number", F.coalesce(number, lost))
 
 
 def land(
-    spark: SparkSession, path: str, kind: str, max_rows: int | None = DEFAULT_MAX_ROWS,
+    spark: SparkSession, path: str, kind: str, max_rows: int | None = None,
     add_row_number: bool = True, add_source_file: bool = True, add_family: bool = True,
 ) -> DataFrame:
-    """Raw rows plus metadata columns; ``max_rows`` keeps the first rows of each file."""
+    """Raw rows plus metadata columns; all rows, or the first ``max_rows`` of each file."""
     if max_rows is not None and (isinstance(max_rows, bool) or not isinstance(max_rows, int) or max_rows <= 0):
         raise ValueError("max_rows must be a positive integer or None")
-    rows = with_row_numbers(read_raw(spark, path, kind))
+    rows = with_row_numbers(_scanned(spark, path, kind))
     if max_rows is not None:
         rows = rows.filter(F.col("row_number") < max_rows)
     out = list(raw_columns(kind))
@@ -116,7 +122,7 @@ def landing_plan(spark: SparkSession, source_dir: str, target_dir: str, files: d
 
 def land_all(
     spark: SparkSession, source_dir: str, target_dir: str, files: dict[str, str],
-    max_rows: int | None = DEFAULT_MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Write one parquet table per kind and return the manifest, one row per file."""
     entries = []
