@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontaminate, html_text, langid, ngram_model, pieces, pii, quality, secret_scan, sharding, simhash
+from tracewright.llm import decontaminate, html_text, langid, ngram_model, oracles, pieces, pii, quality, secret_scan, sharding, simhash
 from tracewright.session import app_dir
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,7 @@ def _(spark, sf_dir):
     return pii.pseudonymized(_table(spark, sf_dir, "documents"))
 
 
-@query("op4_quality_rules")
+@query("op4_quality_rules", oracles.quality_sql())
 def _(spark, sf_dir):
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +59,7 @@ def _(spark, sf_dir):
     return langid.identified(_table(spark, sf_dir, "documents"))
 
 
-@query("op7_secrets")
+@query("op7_secrets", oracles.secrets_sql())
 def _(spark, sf_dir):
     # A new ledger: this run meets every content for the first time.
     folder = f"{app_dir(spark)}/ledger-{uuid.uuid4().hex}"
