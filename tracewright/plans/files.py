@@ -45,7 +45,8 @@ for _kind in ("auth", "dns", "flows", "proc", "redteam"):
 
 
 @query("land_first_rows", sql("""
-SELECT row_number, "timestamp", source_host, resolved_host FROM raw_dns WHERE row_number < 100"""))
+SELECT row_number() OVER (ORDER BY row_number) - 1 AS row_number, "timestamp", source_host, resolved_host
+FROM raw_dns QUALIFY row_number() OVER (ORDER BY row_number) <= 100"""))
 def land_first_rows(spark, sf_dir):
     """One log file landed with a row limit, which keeps its first rows."""
     folder = _folder(spark, "limited")
