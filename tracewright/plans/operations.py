@@ -185,15 +185,28 @@ def drift_far_from_zero(spark, sf_dir):
 # ---------------------------------------------------------------- streams over the landed tables
 
 
-def _folder(spark, sf_dir, kind):
-    return testbed.landed(spark, sf_dir, kind).inputFiles()[0].rsplit("/", 1)[0]
+SLICES = 3
+
+
+def _arriving(spark, sf_dir) -> str:
+    """The raw logs cut by time, one file a slice and kind, written in order as logs arrive."""
+    root = f"{app_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    landed = testbed.all_landed(spark, sf_dir)
+    time = F.col("timestamp").cast("bigint")
+    ends = [df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first() for df in landed.values()]
+    low, high = min(e["lo"] for e in ends), max(e["hi"] for e in ends)
+    for k in range(SLICES):
+        inside = F.floor((time - low) * SLICES / (high - low + 1)) == k
+        for kind, df in landed.items():
+            df.filter(inside).coalesce(1).write.mode("append").parquet(f"{root}/{kind}")
+    return root
 
 
 def _unified(spark, sf_dir):
-    kinds = ("auth", "dns", "flows", "proc", "redteam")
+    """A stream that takes one slice a batch, so state and watermark pass from batch to batch."""
+    root = _arriving(spark, sf_dir)
     return streams.unified_stream({
-        # One batch: the landed tables are a finished backfill, not ordered by time.
-        k: streams.raw_stream(spark, _folder(spark, sf_dir, k), k, max_files=1_000_000) for k in kinds
+        kind: streams.raw_stream(spark, f"{root}/{kind}", kind, max_files=1) for kind in ("auth", "dns", "flows", "proc", "redteam")
     })
 
 
