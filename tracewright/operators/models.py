@@ -31,6 +31,8 @@ EVENT_NUMBERS = ["bytes_in", "bytes_out", "event_hour", "is_business_hour"]
 EVENT_CATEGORIES = ["user_id", "host_id", "process_name", "event_type", "source_ip", "destination_ip"]
 
 
+# Rows of a boosted-tree fit in one task.
+TREE_ROWS_PER_TASK = 200_000
 # Places for the categories of an event.
 HASH_BITS = 16
 
@@ -79,11 +81,14 @@ def fit_logistic(
 def fit_boosted_trees(
     train: DataFrame, numeric: list[str], label: str = "label", rounds: int = 1000, seed: int = 42
 ) -> PipelineModel:
-    """Boosted trees of depth 4 with the positive class weighted by negatives per positive."""
+    """Boosted trees of depth 4 with the positive class weighted by negatives per positive.
+
+    Every round runs a few jobs over all rows, so these are dealt to as few tasks as can hold them.
+    """
     ratio = positive_weight(train, label)
     rows = _numbers(train, numeric).withColumn(
         "_weight", F.when(F.col(label) == 1, F.lit(ratio)).otherwise(1.0)
-    )
+    ).repartition(-(-train.count() // TREE_ROWS_PER_TASK) or 1)
     trees = GBTClassifier(
         labelCol=label, weightCol="_weight", maxDepth=4, stepSize=0.05, subsamplingRate=0.9,
         featureSubsetStrategy="0.9", maxIter=rounds, seed=seed,

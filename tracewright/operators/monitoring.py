@@ -176,9 +176,14 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
+def changed_hashes(recorded: DataFrame, actual: DataFrame) -> DataFrame:
+    """Recorded (path, sha256) that are not among the actual ones: changed and missing files."""
+    return recorded.join(actual.select("path", "sha256"), ["path", "sha256"], "left_anti")
+
+
 def require_recorded_hash(recorded: DataFrame, actual: DataFrame) -> None:
     """Every recorded (path, sha256) must be among the actual ones."""
-    bad = recorded.join(actual.select("path", "sha256"), ["path", "sha256"], "left_anti").limit(5).collect()
+    bad = changed_hashes(recorded, actual).limit(5).collect()
     if bad:
         raise TableCheckError(f"hash differs for {[r['path'] for r in bad]}")
 

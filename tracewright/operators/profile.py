@@ -182,7 +182,9 @@ def graph_profile_document(
         rows(ground_truth_counts(nodes, edges), "ground_truth_counts"),
         rows(ground_truth_sample(edges, nodes, k), "ground_truth_sample"),
         isolated_nodes(nodes, edges).agg(F.count("*").alias("isolated_nodes")),
+        rows(isolated_nodes(nodes, edges).orderBy("node_id").limit(k), "isolated_sample"),
         self_loops(edges).agg(F.count("*").alias("self_loops")),
+        rows(self_loops(edges).orderBy("edge_id").limit(k), "self_loop_sample"),
     ]
     if components is not None:
         parts.append(rows(components, "components"))

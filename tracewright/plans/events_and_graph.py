@@ -141,11 +141,15 @@ def _account_nodes(spark, sf_dir):
 
 
 @query("type_conflicts", sql("""
-SELECT edge_id FROM edge_table JOIN node_table n ON n.node_id = destination_node_id
-WHERE n.entity_type <> destination_entity_type"""))
+SELECT edge_id FROM edge_table
+JOIN (SELECT node_id, CASE WHEN node_id % 5 = 0 THEN 'process' ELSE entity_type END AS s FROM node_table) a ON a.node_id = source_node_id
+JOIN (SELECT node_id, CASE WHEN node_id % 5 = 0 THEN 'process' ELSE entity_type END AS d FROM node_table) b ON b.node_id = destination_node_id
+WHERE s <> source_entity_type OR d <> destination_entity_type"""))
 def type_conflicts(spark, sf_dir):
-    rows = graph.type_conflicts(testbed.edges(spark, sf_dir), testbed.nodes(spark, sf_dir))
-    return rows.select("edge_id")
+    """Every fifth node is given another type, so edges at it disagree."""
+    kind = F.when(F.col("node_id") % 5 == 0, "process").otherwise(F.col("entity_type"))
+    nodes = testbed.nodes(spark, sf_dir).withColumn("entity_type", kind)
+    return graph.type_conflicts(testbed.edges(spark, sf_dir), nodes).select("edge_id")
 
 
 @query("degree_table", sql("SELECT * FROM degrees"))
@@ -172,10 +176,12 @@ def _safe(spark, sf_dir):
 
 
 @query("unknown_entity_types", sql("""
-SELECT DISTINCT entity_type FROM node_table
-WHERE entity_type NOT IN ('user', 'host', 'process', 'host_or_domain')"""))
+SELECT DISTINCT entity_type || '_' || node_id % 3 AS entity_type FROM node_table WHERE node_id % 3 > 0"""))
 def unknown_entity_types(spark, sf_dir):
-    return graph.unknown_types(testbed.nodes(spark, sf_dir))
+    """Two nodes of three are given types that the typed graph does not know."""
+    part = F.col("node_id") % 3
+    kind = F.when(part > 0, F.concat_ws("_", "entity_type", part)).otherwise(F.col("entity_type"))
+    return graph.unknown_types(testbed.nodes(spark, sf_dir).withColumn("entity_type", kind))
 
 
 @query("graph_validation", sql("""

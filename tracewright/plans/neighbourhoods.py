@@ -320,10 +320,12 @@ def link_targets(spark, sf_dir):
 
 
 @query("leaked_pairs", sql("""
-SELECT a, b FROM test_targets JOIN pair_split USING (a, b) WHERE label = 1 AND split <> 'test'"""))
+SELECT a, b FROM test_targets WHERE label = 1 AND (a + b) % 4 = 0"""))
 def leaked_pairs(spark, sf_dir):
+    """A quarter of the test pairs is put back into the context, where it must be found."""
     split, targets = _targets(spark, sf_dir)
-    return links.leaked_pairs(targets, links.context_pairs(split, "test"))
+    back = targets.filter("label = 1 and (a + b) % 4 = 0").select("a", "b")
+    return links.leaked_pairs(targets, links.context_pairs(split, "test").select("a", "b").unionByName(back))
 
 
 cte("decoded", """

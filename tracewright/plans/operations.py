@@ -14,7 +14,7 @@ from tracewright.plans.metrics import rounded, scored
 from tracewright.plans.reference_sql import cte, sql
 from tracewright.plans.registry import query
 from tracewright.session import app_dir
-from tracewright.sources import testbed
+from tracewright.sources import tables, testbed
 from tracewright.streaming import events as streams
 
 cte("halves", """
@@ -105,9 +105,56 @@ def table_fingerprint(spark, sf_dir):
     return monitoring.table_fingerprint(testbed.table(spark, sf_dir, "lineitem"))
 
 
-@query("file_hashes")
+def _artifacts(spark, sf_dir):
+    """A small text file per event family, as a job leaves its documents."""
+    folder = f"{app_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    found = testbed.edges(spark, sf_dir).groupBy("event_family").agg(F.count("*").alias("n"))
+    text = F.concat_ws(":", "event_family", F.col("n").cast("string")).alias("value")
+    found.select(text, "event_family").repartition("event_family").write.partitionBy("event_family").text(folder)
+    hashes = monitoring.file_hashes(spark, f"{folder}/*/*.txt")
+    return hashes.withColumn("path", F.regexp_extract("path", "event_family=([^/]+)/", 1))
+
+
+cte("artifact_texts", """
+SELECT event_family AS path, event_family || ':' || count(*) || chr(10) AS content FROM edge_table GROUP BY event_family
+""")
+
+
+@query("file_hashes", sql("SELECT path, CAST(strlen(content) AS BIGINT) AS length, sha256(content) AS sha256 FROM artifact_texts"))
 def file_hashes(spark, sf_dir):
-    return monitoring.file_hashes(spark, f"{sf_dir}/*.parquet")
+    return _artifacts(spark, sf_dir)
+
+
+@query("changed_hashes", sql("""
+SELECT path, sha256('old' || content) AS sha256 FROM artifact_texts WHERE length(path) > 10"""))
+def changed_hashes(spark, sf_dir):
+    """Records of which those with a long name are out of date."""
+    actual = _artifacts(spark, sf_dir)
+    texts = testbed.edges(spark, sf_dir).groupBy("event_family").agg(F.count("*").alias("n"))
+    content = F.concat(F.col("event_family"), F.lit(":"), F.col("n").cast("string"), F.lit("\n"))
+    old = F.when(F.length("event_family") > 10, F.concat(F.lit("old"), content)).otherwise(content)
+    recorded = texts.select(F.col("event_family").alias("path"), F.sha2(old, 256).alias("sha256"))
+    return monitoring.changed_hashes(recorded, actual).select("path", "sha256")
+
+
+@query("latest_version", """
+SELECT event_type AS path, event_id AS size FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 1""")
+def latest_version(spark, sf_dir):
+    records = testbed.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("path"), F.format_string("%012d", "event_id").alias("hash"),
+        F.col("event_id").alias("size"), F.col("ts").alias("recorded_at"),
+    )
+    return monitoring.latest_version(records, "click").select("path", "size")
+
+
+@query("report_csv", sql("""
+SELECT event_family, CAST(count(*) AS INTEGER) AS rows FROM edge_table GROUP BY event_family"""))
+def report_csv(spark, sf_dir):
+    """A result table written as CSV in a fixed order of columns and read back."""
+    path = f"{app_dir(spark)}/report-{uuid.uuid4().hex}"
+    counts = testbed.edges(spark, sf_dir).groupBy("event_family").agg(F.count("*").alias("rows"))
+    tables.write_report_csv(counts, path, ["event_family", "rows"])
+    return spark.read.csv(path, header=True, inferSchema=True)
 
 
 @query("table_manifest")

@@ -158,7 +158,8 @@ def ground_truth_sample(spark, sf_dir):
 def graph_profile_document(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     weak = components.component_summary(components.weak_components(nodes, edges), "weak")
-    return profile.graph_profile_document(nodes, edges, weak)
+    strong = components.component_summary(components.strong_components(nodes, edges), "strong")
+    return profile.graph_profile_document(nodes, edges, weak.unionByName(strong))
 
 
 _WEAK = """

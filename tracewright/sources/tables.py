@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tracewright.schemas import TableCheckError, require_columns, require_rows
+from tracewright.schemas import TableCheckError, require_columns
 from tracewright.sources.raw_logs import path_exists
 
 ZONES = ("bronze", "silver", "gold", "metadata", "artifacts")
@@ -56,18 +57,34 @@ def csv_files(spark: SparkSession, folder: str) -> list[str]:
     return found
 
 
-def _flow_file(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.csv(path, header=True, inferSchema=True)
-    named = df.toDF(*[c.strip() for c in df.columns])
-    require_rows(named, path)
-    return named.withColumn("source_file", F.lit(path.rsplit("/", 1)[-1]))
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Paths by header line, in one pass; every file must have a row behind its header."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value",
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = F.min_by("value", F.struct("block", "at"))
+    found = lines.groupBy("path").agg(first.alias("header"), F.count("*").alias("lines")).orderBy("path").collect()
+    if not found or min(r["lines"] for r in found) < 2:
+        raise TableCheckError(f"flow files without rows: {[r['path'] for r in found if r['lines'] < 2] or paths}")
+    groups: dict[str, list[str]] = {}
+    for r in found:  # one row per file
+        groups.setdefault(r["header"], []).append(unquote(r["path"]))
+    return groups
 
 
 def read_flow_csvs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Headered CSV files united by trimmed column name; a missing column is null."""
+    """Headered CSV files united by trimmed column name; a missing column is null.
+
+    Files with the same header are read together, so a column has one type in all of them.
+    """
     if not paths:
         raise TableCheckError("no flow files")
-    parts = [_flow_file(spark, path) for path in paths]
+    parts = []
+    for group in _headers(spark, paths).values():
+        df = spark.read.csv(group, header=True, inferSchema=True)
+        named = df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in df.columns], F.col("_metadata.file_path").alias("source_file"))
+        parts.append(named.withColumn("source_file", F.element_at(F.split("source_file", "/"), -1)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
