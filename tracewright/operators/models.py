@@ -24,7 +24,7 @@ from tracewright.operators.features import (
 )
 from tracewright.operators.splits import stratified_three_way
 from tracewright.schemas import TableCheckError
-from tracewright.session import materialize
+from tracewright.session import app_dir, materialize
 
 # Columns of the scoring event.
 EVENT_NUMBERS = ["bytes_in", "bytes_out", "event_hour", "is_business_hour"]
@@ -85,6 +85,9 @@ def fit_boosted_trees(
 
     Every round runs a few jobs over all rows, so these are dealt to as few tasks as can hold them.
     """
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # else the lineage grows with every round
+        context.setCheckpointDir(f"{app_dir(train.sparkSession)}/rounds")
     ratio = positive_weight(train, label)
     rows = _numbers(train, numeric).withColumn(
         "_weight", F.when(F.col(label) == 1, F.lit(ratio)).otherwise(1.0)
