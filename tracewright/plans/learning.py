@@ -126,9 +126,10 @@ def fit_flow_logistic(spark, sf_dir):
 @query("fit_flow_boosted_trees")
 def fit_flow_boosted_trees(spark, sf_dir):
     split = _flows(spark, sf_dir)
-    return _flow_metrics(
-        models.fit_boosted_trees(split.filter("split = 'train'"), FLOW_FEATURES, "target"), split
+    model = models.fit_boosted_trees(
+        split.filter("split = 'train'"), FLOW_FEATURES, "target", validation=split.filter("split = 'validation'")
     )
+    return _flow_metrics(model, split)
 
 
 @query("fit_flow_mlp")
