@@ -107,13 +107,13 @@ def as_hex(fingerprint) -> F.Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` with the smallest ``doc_id`` of their component, each once.
+def kept_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is the ``component_id`` that ``found`` has for it, each once.
 
     Rows that share a kept ``doc_id`` are one document and collapse into one row. A row
     without ``doc_id`` stays: no id names it among its group.
     """
-    found = near_duplicates(docs, shingle, radius).filter("doc_id is not null")
+    found = found.filter("doc_id is not null")
     per_doc = found.groupBy("doc_id").agg(
         F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("rows")
     )
@@ -121,3 +121,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     single = docs.join(odd, "doc_id", "left_anti")
     repeated = docs.join(odd.filter("kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(repeated)
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` with the smallest ``doc_id`` of their component, each once, as ``kept_rows`` takes them."""
+    return kept_rows(docs, near_duplicates(docs, shingle, radius))
