@@ -1,10 +1,12 @@
 import math
+from functools import partial
 
 import pytest
 from conftest import rows
 from fixtures import TOY_EDGES, TOY_FEATURES
 from pyspark.sql import functions as F
 
+from tracewright.plans import learning
 from tracewright.operators import evaluation, features, links, models, monitoring, propagation, reports, splits
 from tracewright.schemas import SCORING_SCHEMA, TableCheckError
 from tracewright.streaming import events as streams
@@ -230,3 +232,8 @@ def test_hashes_lineage_and_comparison(spark, tmp_path):
     assert [r["f1"] for r in table.collect()] == [0.9, 0.9, None]
     assert reports.best_model(table, "f1").first()["model_key"] == "a"
     assert reports.comparison_table(table).filter("model_key = 'c'").first()["f1"] == "N/A"
+
+
+def test_boosted_trees_fit_all_rounds(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(models, "fit_boosted_trees", partial(models.fit_boosted_trees, rounds=12))
+    assert learning.fit_flow_boosted_trees(spark, sf_dir).first()["trees"] == 12

@@ -126,10 +126,8 @@ def fit_flow_logistic(spark, sf_dir):
 @query("fit_flow_boosted_trees")
 def fit_flow_boosted_trees(spark, sf_dir):
     split = _flows(spark, sf_dir)
-    model = models.fit_boosted_trees(
-        split.filter("split = 'train'"), FLOW_FEATURES, "target", validation=split.filter("split = 'validation'")
-    )
-    return _flow_metrics(model, split)
+    model = models.fit_boosted_trees(split.filter("split = 'train'"), FLOW_FEATURES, "target")
+    return _flow_metrics(model, split).withColumn("trees", F.lit(model.stages[-1].getNumTrees))
 
 
 @query("fit_flow_mlp")
