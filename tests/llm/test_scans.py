@@ -221,6 +221,20 @@ def test_templates_go_and_copies_stay(spark):
     assert all(got[100 + i] == "Home News Shop\nOne story\ncopied\nRead our terms" for i in range(12))
 
 
+def test_templates_of_large_hosts(spark):
+    # 100 pages; each of 10 unmarked notices is on 10 of them, and the same words inside the text stay.
+    rows = [(i, f"http://large.example/{i}", f"<body><div>Notice {i % 10}</div><section><p>Story {i}</p></section></body>") for i in range(100)]
+    rows += [(100, "http://large.example/100", "<body><section><div>Notice 1</div><p>Own</p></section></body>")]
+    # Lines of marked articles recur on some pages and stay.
+    rows += [(300 + i, f"http://marked.example/{i}", f"<body><div>Notice {i % 5}</div><article><h1>Title {i % 5}</h1><p>New {i}</p></article></body>") for i in range(50)]
+    # A small host keeps what is on no more than half of its pages.
+    rows += [(200 + i, f"http://small.example/{i}", f"<body><div>Note {i % 2}</div><p>Text {i}</p></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}" for i in range(100)) and got[100] == "Notice 1\nOwn"
+    assert all(got[300 + i] == f"Title {i % 5}\nNew {i}" for i in range(50))
+    assert all(got[200 + i] == f"Note {i % 2}\nText {i}" for i in range(12))
+
+
 def test_parts_of_a_page():
     page = """<body class="no-sidebar"><div id=top-menu>menu</div><header>head</header><div class="content">
       <article class="post"><h1>T &amp; U &eacute;</h1><p>a<b>b</b>\n c<br>d<div class="cookie-notice">cookie</div><p>e &lt;x&gt;

@@ -1,7 +1,9 @@
 """Main text of web pages: elements by their role, and site templates removed by subtree counts.
 
-Every block element's subtree is hashed. Spark counts per host on how many different
-pages a subtree occurs, and subtrees that recur on many of them are deleted. Elements
+Every block element's subtree is hashed with its position, the tags above it. Spark counts per
+host on how many different pages a subtree occurs there, and those that recur on
+``LEAST_PAGES`` of them are deleted, however many pages the host has. Within a marked
+article, whose own lines recur too, they must be on a share of the pages as well. Elements
 whose tag, role or class names a menu, a notice and the like go without a count. What is
 left of the article, or of the body where no article is marked, is the text.
 """
@@ -16,10 +18,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracewright.operators.joins import lookup
 from tracewright.session import materialize
 
-# A template recurs on this many different pages of its host at least, and on more than this share of them.
+# A template recurs on this many different pages of its host at least.
 LEAST_PAGES = 6
+# On a host with fewer different pages than this, and within a marked article, it is on more than this share of them as well.
+SMALL_HOST = 20
 SHARE = 0.5
 
 # What HTML says of its elements.
@@ -117,7 +122,7 @@ def _walk(root: Element, unless=None) -> Iterator[Element]:
 
 
 def _sign(root: Element) -> None:
-    """Digest and text length of every subtree, from tags and words, leaves first."""
+    """Text length of every subtree and a digest of its tags and words, leaves first, and of the tags above it."""
     for element in reversed(list(_walk(root))):
         state = xxhash.xxh64(element.tag.encode())
         for x in element.items:
@@ -129,16 +134,30 @@ def _sign(root: Element) -> None:
                 element.length += x.length
                 state.update(b"\1" + x.digest.to_bytes(8, "big"))
         element.digest = state.intdigest()
+    # Then the position goes into the digests, from the top.
+    stack = [(root, 0)]
+    while stack:
+        element, above = stack.pop()
+        place = xxhash.xxh64_intdigest((_role(element) or "").encode(errors="replace"), above)
+        stack += [(x, place) for x in element.items if isinstance(x, Element)]
+        element.digest = xxhash.xxh64_intdigest(element.digest.to_bytes(8, "big"), place)
 
 
-def subtrees(page: str | None) -> set[int]:
-    """Signed digests of the block subtrees with text."""
+def subtrees(page: str | None) -> set[tuple[int, bool]]:
+    """Signed digests of the block subtrees with text, and whether they are in a marked article."""
     if not page:
         return set()
     root = parsed(page)
     _sign(root)
-    found = {e.digest for e in _walk(root) if e.length and e.tag in BLOCK and e.tag not in ("html", "body")}
-    return {d - (1 << 64) if d >> 63 else d for d in found}
+    found = set()
+    stack = [(root, False)]
+    while stack:
+        e, marked = stack.pop()
+        marked = marked or _role(e) == "article"
+        if e.length and e.tag in BLOCK and e.tag not in ("html", "body"):
+            found.add((e.digest - (1 << 64) if e.digest >> 63 else e.digest, marked))
+        stack += [(x, marked) for x in e.items if isinstance(x, Element)]
+    return found
 
 
 def _role(element: Element) -> str | None:
@@ -212,12 +231,8 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """``host`` and the digests of its templates.
-
-    Equal pages of a host count once. As a template is on more than ``share`` of the pages,
-    a host has fewer than 1 / ``share`` times the subtrees of its average page.
-    """
+def _page_parts(pages: DataFrame) -> DataFrame:
+    """``host``, ``page``, and ``subtree`` digests with ``marked`` of every row, equal pages of a host once."""
     given = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,25 +240,39 @@ def site_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SH
             found = [subtrees(x) for x in batch["html"]]
             repeated = batch.index.repeat([len(f) for f in found])
             out = batch.loc[repeated, ["host", "page"]]
-            out["subtree"] = [d for f in found for d in f]
+            out["subtree"] = [d for f in found for d, _ in f]
+            out["marked"] = [m for f in found for _, m in f]
             yield out
 
-    rows = given.mapInPandas(parts, "host string, page bigint, subtree bigint")
-    counts = rows.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= least)
-    sizes = given.groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    many = counts.join(sizes, "host").filter(F.col("n") > share * F.col("pages"))
-    return many.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    return given.mapInPandas(parts, "host string, page bigint, subtree bigint, marked boolean").distinct()
+
 
+def site_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, small: int = SMALL_HOST) -> DataFrame:
+    """``host``, ``page`` (hash of its HTML) and the digests of the ``templates`` on it.
 
-def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    Equal pages of a host count once. A page gets only its own templates, so that a host
+    may have any number of them.
+    """
+    rows = materialize(_page_parts(pages), "subtrees")
+    counts = rows.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.max("marked").alias("marked")).filter(F.col("n") >= least)
+    given = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page")).distinct()
+    sizes = given.groupBy("host").agg(F.count("*").alias("pages"))
+    enough = (F.col("pages") >= small) & ~F.col("marked") | (F.col("n") > share * F.col("pages"))
+    many = lookup(counts, sizes, ["host"], ["subtree"], "inner").filter(enough).select("host", "subtree")
+    many = materialize(many, "many")
+    found = lookup(rows, many, ["host", "subtree"], ["page"], "inner")
+    return found.groupBy("host", "page").agg(F.collect_list("subtree").alias("templates"))
+
+
+def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, small: int = SMALL_HOST) -> DataFrame:
     """Per input row ``page_id``, ``url``, ``text`` and ``n_chars`` (code points).
 
     Null and empty pages have an empty text. Pages without a host share the empty one.
     Repeated rows get equal texts.
     """
-    templates = materialize(site_templates(pages, least, share), "templates")
-    given = pages.select("page_id", "url", "html").withColumn("host", host(F.col("url")))
-    joined = given.join(templates, "host", "left").select("page_id", "url", "html", "templates")
+    templates = materialize(site_templates(pages, least, share, small), "templates")
+    given = pages.select("page_id", "url", "html").withColumns({"host": host(F.col("url")), "page": F.xxhash64("html")})
+    joined = lookup(given, templates, ["host", "page"], ["page_id", "url"]).select("page_id", "url", "html", "templates")
 
     @F.pandas_udf("string")
     def text(htmls: pd.Series, found: pd.Series) -> pd.Series:
