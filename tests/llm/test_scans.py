@@ -246,6 +246,11 @@ def test_parts_of_a_page():
     assert html_text.main_text("<main><p>m</main><p>other") == "m"
 
 
+def test_all_articles_of_a_page():
+    page = "<article><p>first<article><p>inner</article></article><aside><article>ad</article></aside><p>between<div><article><h1>second</h1><p>x</article></div>"
+    assert html_text.main_text(page) == "first\ninner\nsecond\nx"
+
+
 def test_pages_odd_tables(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (None, "nowhere", ""), (2, "http://h/", "<p>" + "x " * 60_000), (2, "http://h/", "<" * 5000), (3, None, deep), (3, None, deep)]

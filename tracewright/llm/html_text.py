@@ -216,12 +216,16 @@ def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
         end()
         return out
 
-    # An article outside every part of the page, else any; a main element where there is no article.
+    # All outermost articles outside every part of the page, else any; main elements where there is no article.
     for free in (True, False):
         for role in ("article", "main"):
-            choice = [e for e in _walk(root, _is_part if free else None) if _role(e) == role and not _is_part(e)]
+
+            def wanted(e: Element) -> bool:
+                return _role(e) == role and not _is_part(e)
+
+            choice = [e for e in _walk(root, lambda e: wanted(e) or free and _is_part(e)) if wanted(e)]
             if choice:
-                return "\n".join(max((blocks(e) for e in choice), key=lambda b: sum(map(len, b))))
+                return "\n".join(x for e in [e for e in choice if not dropped(e)] or choice for x in blocks(e))
     body = next((e for e in _walk(root) if e.tag == "body"), root)
     return "\n".join(blocks(body))
 
