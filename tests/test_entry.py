@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -19,3 +20,17 @@ def test_flagship(spark):
 @pytest.mark.parametrize("name", FAST)
 def test_queries_run(spark, sf_dir, name):
     assert entry.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_every_sql_runs(sf_dir):
+    """All but those of the operators that a part of its own brings."""
+    from tools.check_oracles import TABLES
+    from tracewright import plans
+
+    duck = duckdb.connect()
+    duck.execute("SET TimeZone='UTC'")
+    for name in TABLES:
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    for name, sql in plans.oracle_sql().items():
+        found = duck.execute(sql)
+        assert found.description, name

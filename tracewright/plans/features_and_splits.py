@@ -306,7 +306,7 @@ STANDARD = ["flow_duration", "flow_bytes_per_s", "fwd_iat_mean"]
 
 @query("standardized_safe_features", sql("""
 SELECT node_id, """ + ", ".join(
-    f"round((log_{c} - m_{c}) / nullif(s_{c}, 0), 5) AS log_{c}" for c in ("outgoing", "incoming", "total")
+    f"round((log_{c}_event_count - m_{c}) / nullif(s_{c}, 0), 5) AS log_{c}_event_count" for c in ("outgoing", "incoming", "total")
 ) + """
 FROM (SELECT n.node_id, split, ln(1 + outgoing_count) AS log_outgoing_event_count, ln(1 + incoming_count) AS log_incoming_event_count,
              ln(1 + total_event_count) AS log_total_event_count

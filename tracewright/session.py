@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def build_session(app: str = "tracewright", master: str | None = None, **conf) -> SparkSession:
@@ -63,9 +66,29 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.materialized_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables materialised inside are deleted at the end, but for those put into the list it gives.
+
+    What is put there belongs to the scope around, if there is one.
+    """
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        made = _scopes.pop()
+        paths = {df.materialized_path for df in kept}
+        discard(*[df for df in made if df.materialized_path not in paths])
+        if _scopes:
+            _scopes[-1].extend(df for df in made if df.materialized_path in paths)
+
+
 def _delete(spark: SparkSession, folder: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
