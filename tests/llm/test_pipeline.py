@@ -1,6 +1,7 @@
 """The pipeline against plain Python, stage by stage."""
 
-from tests.llm.test_filters import WORD, components, counts, plain_fingerprint
+from tests.llm.test_filters import WORD, counts
+from tests.llm.test_near_copies import plain_groups
 from tracewright.llm import decontaminate
 from tracewright.session import materialize
 
@@ -22,7 +23,7 @@ def test_stages_take_effect(spark, sf_dir):
             base = {i for i, t in texts.items() if counts(t)[0] < 20 or 100 * counts(t)[4] > 30 * counts(t)[0]}
             assert not base & kept[-1]
         elif name == "near_duplicates":
-            assert kept[-1] == set(components({i: plain_fingerprint(t) for i, t in texts.items()}).values())
+            assert kept[-1] == set(plain_groups(texts).values())
         elif name == "decontamination":
             hit = {
                 i for i, t in texts.items()
