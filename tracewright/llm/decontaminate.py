@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tracewright.llm.words import words
 from tracewright.operators.joins import lookup
-from tracewright.session import materialize
+from tracewright.session import materialize, scratch
 
 MIN_TILE = 5
 SEED = 3
@@ -151,15 +151,17 @@ def tiled_pairs(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -
 
 
 def _leaks(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
-    per_doc = tiled_pairs(docs, items, coverage).groupBy("doc_id", "text_hash").agg(
-        F.count("*").alias("n_items"), F.max("coverage").alias("coverage"),
-        F.max(F.struct("coverage", (-F.col("item_id")).alias("last"))).alias("best"),
-    )
-    return materialize(
-        per_doc.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "n_items", "coverage",
-                       (-F.col("best.last")).alias("item_id")),
-        "leaks",
-    )
+    with scratch() as kept:
+        per_doc = tiled_pairs(docs, items, coverage).groupBy("doc_id", "text_hash").agg(
+            F.count("*").alias("n_items"), F.max("coverage").alias("coverage"),
+            F.max(F.struct("coverage", (-F.col("item_id")).alias("last"))).alias("best"),
+        )
+        kept.append(materialize(
+            per_doc.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "n_items", "coverage",
+                           (-F.col("best.last")).alias("item_id")),
+            "leaks",
+        ))
+    return kept[0]
 
 
 def contamination(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:

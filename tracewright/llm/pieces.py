@@ -13,7 +13,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from math import inf
 
 import numpy as np
@@ -55,6 +54,22 @@ class Vocabulary:
         )
 
 
+class _Memo(dict):
+    """Ids, as int32 bytes, of chunks; short ones are remembered, a bounded number of them."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = array("i", self.encode(chunk)).tobytes()
+        if len(chunk) <= _SHORT:
+            if len(self) >= _REMEMBERED:
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 class Coder:
     """Encoder and decoder of one vocabulary."""
 
@@ -82,7 +97,8 @@ class Coder:
         inside = any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in longer)
         joined = "".join(map(re.escape, sorted(set("".join(longer)) - {SPACE}))) or SPACE
         self.chunks = re.compile(".+" if inside else f"{SPACE}*[{joined}]+|{SPACE}+|[^{SPACE}{joined}]", re.S)
-        self.remembered = lru_cache(_REMEMBERED)(self._short)
+        self.memo = _Memo(self.stream)
+        self.surfaces = pa.array(self.bytes_of, pa.large_binary())
 
     def stream(self, text: str) -> Iterator[int]:
         """Ids of the best segmentation of ``text``. Of equal ones the one whose last piece is longest wins."""
@@ -144,9 +160,6 @@ class Coder:
         out.reverse()
         return out
 
-    def _short(self, chunk: str) -> bytes:
-        return array("i", self.stream(chunk)).tobytes()
-
     def encode(self, text: str | None) -> np.ndarray | None:
         """int32 ids; null for null, none for an empty text. A literal U+2581 is no space, it becomes bytes."""
         if text is None:
@@ -157,15 +170,25 @@ class Coder:
         out: list[bytes] = []
         for part_no, part in enumerate((" " + text).split(SPACE)):
             out += [literal] * bool(part_no)
-            for chunk in self.chunks.findall(part.replace(" ", SPACE)):
-                out.append(self.remembered(chunk) if len(chunk) <= _SHORT else self._short(chunk))
+            out += map(self.memo.__getitem__, self.chunks.findall(part.replace(" ", SPACE)))
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str | None:
         """The text of ``ids``, without the space that encoding puts in front."""
-        if ids is None:
-            return None
-        return b"".join([self.bytes_of[i] for i in ids]).decode(errors="replace").removeprefix(" ")
+        return None if ids is None else self.decode_all([np.asarray(ids, np.int32)])[0]
+
+    def decode_all(self, lists: list[np.ndarray | None]) -> list[str | None]:
+        """The texts of many id lists: one gather of all pieces, cut where a list ends."""
+        ends = np.cumsum([0] + [0 if x is None else len(x) for x in lists])
+        ids = np.concatenate([x for x in lists if x is not None] or [np.zeros(0, np.int32)])
+        joined = self.surfaces.take(pa.array(ids, pa.int32()))
+        _, starts, data = joined.buffers()
+        cuts = np.frombuffer(starts, np.int64)[: len(ids) + 1][ends] if len(ids) else ends
+        data = memoryview(data or b"")
+        return [
+            None if x is None else str(data[a:b], errors="replace").removeprefix(" ")
+            for x, a, b in zip(lists, cuts[:-1].tolist(), cuts[1:].tolist())
+        ]
 
 
 _coders: dict[int, Coder] = {}
@@ -206,7 +229,7 @@ def round_trips(docs: DataFrame, path: str = MODEL) -> DataFrame:
         for part in _sliced(batches):
             texts = part.column("text").to_pylist()
             ids = [coder.encode(t) for t in texts]
-            same = [None if t is None else coder.decode(i.tolist()) == t for t, i in zip(texts, ids)]
+            same = [None if t is None else back == t for t, back in zip(texts, coder.decode_all(ids))]
             count = pa.array([None if i is None else len(i) for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), _id_lists(ids), count, pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "restored"]
@@ -228,6 +251,6 @@ def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
         coder = _coder(vocabulary.value)
-        return pd.Series([coder.decode(x) for x in ids], dtype=object)
+        return pd.Series(coder.decode_all(list(ids)), dtype=object)
 
     return rows.withColumn("decoded_text", decode("ids"))
