@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracewright.llm import quality, secret_scan
+from tracewright.llm import line_dedup, quality, resampling, secret_scan
 
 _BLANK = r"[\x20\x09-\x0D]"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -70,3 +71,49 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secr
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS digest,
        coalesce(n_spans, 0) AS n_spans
 FROM given LEFT JOIN listed USING (k)"""
+
+
+def lines_sql(min_docs: int = line_dedup.MIN_DOCS, min_chars: int = line_dedup.MIN_CHARS) -> str:
+    blanks = " || ".join(f"chr({ord(c)})" for c in line_dedup.BLANKS)
+    return f"""
+WITH given AS (SELECT row_number() OVER () AS k, doc_id, md5(text) AS h, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+placed AS (SELECT k, doc_id, h, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM given),
+keyed AS (SELECT *, translate(trim(line, {blanks}), '{_UPPER}', '{_LOWER}') AS key FROM placed),
+common AS (SELECT key FROM keyed WHERE length(key) >= {min_chars} GROUP BY key HAVING count(DISTINCT (doc_id, h)) >= {min_docs})
+SELECT doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN common ON common.key = keyed.key GROUP BY k, doc_id"""
+
+
+def resampling_sql() -> str:
+    """For runs of one word, as the query takes them."""
+    b, least, percent = resampling.BUCKETS, resampling.MIN_WORDS, resampling.PERCENT
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{word}')"
+    return f"""
+WITH RECURSIVE
+bits(i, c, step) AS (SELECT CAST(range AS UBIGINT), CAST(range AS UBIGINT), 0 FROM range(256) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+source AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, {words} AS words FROM documents),
+target AS MATERIALIZED (SELECT {words} AS words FROM benchmark),
+all_words AS (SELECT k, unnest(words) AS word FROM source UNION ALL SELECT NULL, unnest(words) FROM target),
+vocabulary AS MATERIALIZED (SELECT word, hex(encode(word)) AS h, CAST(octet_length(encode(word)) AS INTEGER) AS n
+                            FROM (SELECT DISTINCT word FROM all_words)),
+steps(word, h, n, pos, c) AS (SELECT word, h, n, 0, CAST(4294967295 AS UBIGINT) FROM vocabulary UNION ALL
+  SELECT word, h, n, pos + 1, xor(c >> 8, t[CAST(xor(c & 255,
+    CAST('0x' || substr(h, 2 * pos + 1, 2) AS UBIGINT)) AS BIGINT) + 1])
+  FROM steps, crc_table WHERE pos < n),
+placed AS MATERIALIZED (SELECT word, CAST(xor(c, CAST(4294967295 AS UBIGINT)) % {b} AS BIGINT) AS bucket FROM steps WHERE pos = n),
+counts AS (SELECT bucket, count(k) AS s, count(*) - count(k) AS t FROM all_words JOIN placed USING (word) GROUP BY bucket),
+sizes AS (SELECT CAST(sum(s) AS DOUBLE) AS big_s, CAST(sum(t) AS DOUBLE) AS big_t FROM counts),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (big_s + {b}) / ((s + 1)::DOUBLE * (big_t + {b})))) AS BIGINT) AS gain
+         FROM counts, sizes),
+weighed AS (SELECT k, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight
+            FROM all_words JOIN placed USING (word) JOIN gain USING (bucket) WHERE k IS NOT NULL GROUP BY k),
+scored AS (SELECT k, doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST('0x' || substr(sha256('{resampling.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM source LEFT JOIN weighed USING (k)),
+drawn AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place,
+                 count(*) OVER () * {percent} // 100 AS drawn FROM scored WHERE n_features >= {least})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN drawn USING (k)"""

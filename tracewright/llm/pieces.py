@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Chunks up to this length are remembered, this many of them in a worker.
-_SHORT, _REMEMBERED = 32, 1 << 17
+_SHORT, _REMEMBERED = 32, 1 << 18
 _ROWS = 256
 _UNKNOWN_COST = 10.0
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontaminate, html_text, langid, ngram_model, oracles, pieces, pii, quality, secret_scan, sharding, simhash
+from tracewright.llm import (
+    decontaminate, html_text, langid, line_dedup, ngram_model, oracles, pieces, pii, quality, resampling,
+    secret_scan, sharding, simhash, whitening,
+)
 from tracewright.session import app_dir
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +83,18 @@ def _(spark, sf_dir):
 @query("op10_decontamination")
 def _(spark, sf_dir):
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_line_bitmaps", oracles.lines_sql())
+def _(spark, sf_dir):
+    return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def _(spark, sf_dir):
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_importance_resampling", oracles.resampling_sql())
+def _(spark, sf_dir):
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
