@@ -1,5 +1,4 @@
 import math
-from functools import partial
 
 import pytest
 from conftest import rows
@@ -232,8 +231,3 @@ def test_hashes_lineage_and_comparison(spark, tmp_path):
     assert [r["f1"] for r in table.collect()] == [0.9, 0.9, None]
     assert reports.best_model(table, "f1").first()["model_key"] == "a"
     assert reports.comparison_table(table).filter("model_key = 'c'").first()["f1"] == "N/A"
-
-
-def test_boosted_trees_fit_all_rounds(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(models, "fit_boosted_trees", partial(models.fit_boosted_trees, rounds=12))
-    assert learning.fit_flow_boosted_trees(spark, sf_dir).first()["trees"] == 12

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracewright.functions.columns import business_hour
 from tracewright.operators import (
+    boosting,
     evaluation,
     features,
     leakage,
@@ -14,7 +16,7 @@ from tracewright.operators import (
     reports,
     splits,
 )
-from tracewright.operators.ordered import dense_index
+from tracewright.operators.ordered import dense_index, exact_quantiles
 from tracewright.plans.features_and_splits import FLOW_FEATURES, flow_table
 from tracewright.plans.metrics import rounded, scored
 from tracewright.plans.reference_sql import cte, sql
@@ -126,8 +128,41 @@ def fit_flow_logistic(spark, sf_dir):
 @query("fit_flow_boosted_trees")
 def fit_flow_boosted_trees(spark, sf_dir):
     split = _flows(spark, sf_dir)
-    model = models.fit_boosted_trees(split.filter("split = 'train'"), FLOW_FEATURES, "target")
-    return _flow_metrics(model, split).withColumn("trees", F.lit(model.stages[-1].getNumTrees))
+    model = boosting.fit(split.filter("split = 'train'"), FLOW_FEATURES, "target")
+    held = boosting.scored(model, split.filter("split = 'test'"), "target")
+    return models.evaluate(materialize(held, "scored")).withColumns(
+        {"rounds": F.lit(model.rounds), "trees": F.lit(len(model.trees))}
+    )
+
+
+cte("tree_rows", "SELECT *, CASE WHEN upper(trim(label)) <> 'BENIGN' THEN 1 ELSE 0 END AS target FROM flow_table")
+_TREE_FEATURES = ["flow_duration", "flow_bytes_per_s", "fwd_iat_mean"]
+_TREE_BINS = 8
+
+
+def _tree_histogram_sql() -> str:
+    points = ", ".join(f"{k}::DOUBLE / {_TREE_BINS}" for k in range(1, _TREE_BINS))
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, target, CAST({c} AS DOUBLE) AS v, (SELECT list_distinct(quantile_cont(CAST({c} AS DOUBLE), [{points}])) FROM tree_rows) AS edges FROM tree_rows"
+        for c in _TREE_FEATURES
+    )
+    return f"""
+SELECT feature, CAST(bin AS INTEGER) AS bin, count(*) AS rows, round(sum(w * (0.5::DOUBLE - target)), 4) AS gradient,
+       round(sum(w * 0.25::DOUBLE), 4) AS hessian
+FROM (SELECT feature, target, CASE WHEN v IS NULL THEN 0 ELSE 1 + len(list_filter(edges, lambda e: e < v)) END AS bin,
+             CASE WHEN target = 1 THEN (SELECT (count(*) - sum(target)) / sum(target)::DOUBLE FROM tree_rows) ELSE 1::DOUBLE END AS w
+      FROM ({parts}))
+GROUP BY feature, bin"""
+
+
+@query("tree_histogram", sql(_tree_histogram_sql()))
+def tree_histogram(spark, sf_dir):
+    """The sums that the first split of a boosted tree is picked from, with bins at exact quantiles."""
+    rows = features.tabular_features(flow_table(spark, sf_dir))
+    points = {f"q{k}": k / _TREE_BINS for k in range(1, _TREE_BINS)}
+    found = {r.field: sorted({r[q] for q in points}) for r in exact_quantiles(rows, _TREE_FEATURES, points).collect()}
+    out = boosting.first_histogram(rows, _TREE_FEATURES, [np.array(found[c]) for c in _TREE_FEATURES], "target")
+    return out.withColumns({c: F.round(c, 4) for c in ("gradient", "hessian")})
 
 
 @query("fit_flow_mlp")
