@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import FeatureHasher, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewright.functions.columns import hash_key
-from tracewright.operators import evaluation
+from tracewright.operators import evaluation, network
 from tracewright.operators.features import (
     class_weights,
-    positive_weight,
     require_feature_order,
     weight_column,
 )
@@ -75,26 +68,11 @@ def fit_logistic(
     return Pipeline(stages=stages).fit(rows.select(label, "_weight", *numeric, *categorical))
 
 
-def oversampled(train: DataFrame, key: list[str], label: str, seed: int = 42) -> DataFrame:
-    """Positives repeated so that both classes weigh about the same, by hash instead of a draw."""
-    ratio = max(positive_weight(train, label), 1.0)
-    whole, rest = int(ratio), ratio - int(ratio)
-    roll = F.conv(F.substring(hash_key(seed, *key), 1, 8), 16, 10).cast("double") / float(16**8)
-    copies = F.when(F.col(label) == 1, F.lit(whole) + (roll < rest).cast("int")).otherwise(1)
-    return train.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
-
-
 def fit_mlp(
-    train: DataFrame, numeric: list[str], label: str = "label", hidden: tuple[int, ...] = (64, 32),
-    max_iter: int = 300, seed: int = 42, initial_weights=None,
-) -> PipelineModel:
-    net = MultilayerPerceptronClassifier(
-        labelCol=label, layers=[len(numeric), *hidden, 2], maxIter=max_iter, seed=seed
-    )
-    if initial_weights is not None:
-        net.setInitialWeights(initial_weights)
-    stages = [*_scaling_stages(numeric), net]
-    return Pipeline(stages=stages).fit(_numbers(train, numeric).select(label, *numeric))
+    split: DataFrame, numeric: list[str], label: str = "label", hidden: tuple[int, ...] = (64, 32), max_iter: int = 300, seed: int = 42,
+) -> network.Run:
+    """ReLU network on the rows of ``split`` that train; ends early when ten epochs gain less than 0.0001."""
+    return network.train(split, numeric, label, ["split"], [seed], hidden, max_iter, weighted=False, patience=10)[0]
 
 
 def scored(model: PipelineModel, df: DataFrame, numeric: list[str], label: str = "label", keep: list[str] | None = None) -> DataFrame:
@@ -106,30 +84,17 @@ def scored(model: PipelineModel, df: DataFrame, numeric: list[str], label: str =
     )
 
 
-@dataclass
-class FittedRun:
-    model: PipelineModel
-    history: DataFrame
-    best_epoch: int
+def fit_mlp_with_history(
+    split: DataFrame, numeric: list[str], label: str = "label", epochs: int = 30, seed: int = 42,
+) -> network.Run:
+    """Weighted network with dropout; the epoch with the least validation loss is kept, and the curve of all."""
+    return network.train(split, numeric, label, ["split"], [seed], epochs=epochs, decay=1e-4, dropout=0.2, keep_best=True)[0]
 
 
-def fit_mlp_with_history(
-    split: DataFrame, key: list[str], numeric: list[str], label: str = "label",
-    steps: int = 4, iterations: int = 10, seed: int = 42,
-) -> FittedRun:
-    """Fit in steps that go on from the last weights; keep the step with the best validation AP."""
-    train = materialize(oversampled(split.filter("split = 'train'"), key, label, seed), "train")
-    held = split.filter("split = 'validation'")
-    weights, models, parts = None, {}, None
-    for step in range(1, steps + 1):
-        model = fit_mlp(train, numeric, label, max_iter=iterations, seed=seed, initial_weights=weights)
-        weights = model.stages[-1].weights
-        models[step] = model
-        part = scored(model, held, numeric, label).withColumn("epoch", F.lit(step))
-        parts = part if parts is None else parts.unionByName(part)
-    history = materialize(evaluate(parts, by=["epoch"]), "history")
-    best = evaluation.best_round(history, "average_precision").first()["epoch"]
-    return FittedRun(models[best], history, best)
+def network_scores(run: network.Run, df: DataFrame, label: str = "label", keep: list[str] | None = None) -> DataFrame:
+    """(kept columns, label, score)"""
+    found = network.scored([run.network], df, label, keep)
+    return found.withColumn("score", F.col("scores")[0]).drop("scores")
 
 
 def evaluate(predictions: DataFrame, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
@@ -153,6 +118,7 @@ def evaluate(predictions: DataFrame, threshold: float = 0.5, by: list[str] | Non
     })
 
 
+# Columns of a seed run.
 SEED_COLUMNS = [
     "seed", "train_rows", "validation_rows", "test_rows", "train_positive_rows",
     "validation_positive_rows", "test_positive_rows", "final_train_loss", "test_loss", "roc_auc",
@@ -166,36 +132,25 @@ def seed_runs(
     df: DataFrame, key: list[str], numeric: list[str], label: str = "label",
     seeds: tuple[int, ...] = (1, 2, 3, 4, 5), max_iter: int = 20, threshold: float = 0.5,
 ) -> DataFrame:
-    """Split, fit and evaluate per seed; all seeds are evaluated together in one pass."""
-    tests, trains, sizes = [], [], []
-    for seed in seeds:
-        split = materialize(stratified_three_way(df, key, label, seed=seed), "seed")
-        train = oversampled(split.filter("split = 'train'"), key, label, seed)
-        model = fit_mlp(train, numeric, label, max_iter=max_iter, seed=seed)
-        tag = F.lit(seed).alias("seed")
-        for name, into in (("test", tests), ("train", trains)):
-            into.append(scored(model, split.filter(F.col("split") == name), numeric, label).select(tag, "label", "score"))
-        sizes.append(split.groupBy("split").agg(
-            F.count("*").alias("rows"), F.sum(F.col(label).cast("bigint")).alias("positive_rows")
-        ).select(tag, "split", "rows", "positive_rows"))
-
-    def union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-
-    counts = union(sizes).groupBy("seed").pivot("split", ["train", "validation", "test"]).agg(
-        F.max("rows").alias("rows"), F.max("positive_rows").alias("positive_rows")
-    )
-    test = evaluate(materialize(union(tests), "scored"), threshold, ["seed"])
-    train_loss = union(trains).groupBy("seed").agg(F.avg(
-        -F.when(F.col("label") == 1, F.log(F.greatest("score", F.lit(1e-15))))
-        .otherwise(F.log(F.greatest(1 - F.col("score"), F.lit(1e-15))))
-    ).alias("final_train_loss"))
+    """Split per seed, all networks trained by the same passes, all evaluated in one."""
+    table, parts = df, [f"split_{seed}" for seed in seeds]
+    for seed, part in zip(seeds, parts):
+        table = stratified_three_way(table, key, label, seed=seed).withColumnRenamed("split", part)
+    table = materialize(table, "seeds")
+    runs = network.train(table, numeric, label, parts, list(seeds), epochs=max_iter, decay=1e-4, dropout=0.2)
+    scores = network.scored([r.network for r in runs], table, label, parts)
+    pairs = F.array(*[F.struct(F.lit(s).alias("seed"), F.col(p).alias("split"), F.col("scores")[i].alias("score"))
+                      for i, (s, p) in enumerate(zip(seeds, parts))])
+    each = scores.select("label", F.inline(pairs))
+    counts = each.groupBy("seed").agg(*[
+        F.count_if((F.col("split") == name) & test).alias(f"{name}_{kind}")
+        for name in ("train", "validation", "test") for kind, test in (("rows", F.lit(True)), ("positive_rows", F.col("label") == 1))
+    ])
+    test = evaluate(materialize(each.filter("split = 'test'").select("seed", "label", "score"), "scored"), threshold, ["seed"])
+    final = F.create_map(*[F.lit(v) for s, r in zip(seeds, runs) for v in (s, r.history[-1][1])])
     return (
         test.withColumnRenamed("loss", "test_loss").withColumnRenamed("average_precision", "pr_auc")
-        .join(counts, "seed").join(train_loss, "seed").select(*SEED_COLUMNS)
+        .join(counts, "seed").withColumn("final_train_loss", final[F.col("seed")]).select(*SEED_COLUMNS)
     )
 
 

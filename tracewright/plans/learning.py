@@ -165,19 +165,23 @@ def tree_histogram(spark, sf_dir):
     return out.withColumns({c: F.round(c, 4) for c in ("gradient", "hessian")})
 
 
+def _network_metrics(run, split):
+    held = models.network_scores(run, split.filter("split = 'test'"), "target")
+    return models.evaluate(materialize(held, "scored")).withColumn("epochs", F.lit(len(run.history)))
+
+
 @query("fit_flow_mlp")
 def fit_flow_mlp(spark, sf_dir):
     split = _flows(spark, sf_dir)
-    return _flow_metrics(
-        models.fit_mlp(split.filter("split = 'train'"), FLOW_FEATURES, "target"), split
-    )
+    return _network_metrics(models.fit_mlp(split, FLOW_FEATURES, "target"), split)
 
 
 @query("fit_flow_mlp_history")
 def fit_flow_mlp_history(spark, sf_dir):
     split = _flows(spark, sf_dir)
-    run = models.fit_mlp_with_history(split, ["row_id"], FLOW_FEATURES, "target")
-    return run.history.withColumn("best_epoch", F.lit(run.best_epoch))
+    run = models.fit_mlp_with_history(split, FLOW_FEATURES, "target")
+    curve = spark.createDataFrame(run.history, "epoch int, train_loss double, validation_loss double")
+    return curve.withColumn("best_epoch", F.lit(run.best_epoch))
 
 
 @query("seed_run_summary")
