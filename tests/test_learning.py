@@ -186,13 +186,39 @@ def test_stream_scoring_splits_rejects(spark, generated, tmp_path):
                          ).write.parquet(source)
     model = models.fit_logistic(generated, models.EVENT_NUMBERS, max_iter=10)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    scores, rejected = streams.score_stream(model, stream)
-    streams.run_to_end(scores, str(tmp_path / "a"), str(tmp_path / "ca"))
-    streams.run_to_end(rejected, str(tmp_path / "b"), str(tmp_path / "cb"))
-    a, b = spark.read.parquet(str(tmp_path / "a")).count(), spark.read.parquet(str(tmp_path / "b")).count()
+    root = str(tmp_path / "out")
+    streams.score_to_end(model, stream, root)
+    a, b = spark.read.parquet(f"{root}/scores").count(), spark.read.parquet(f"{root}/rejects").count()
     assert a + b == 1000 and b == generated.filter("user_id = 'user_001'").count()
 
 
+def test_a_repeated_batch_changes_nothing(spark, generated, tmp_path, monkeypatch):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = generated.withColumn("event_hour", F.when(F.col("user_id") == "user_001", 30).otherwise(F.col("event_hour")))
+    rows.withColumn("i", F.monotonically_increasing_id()).repartition(4).write.parquet(source)
+    model = models.fit_logistic(generated, models.EVENT_NUMBERS, max_iter=10)
+    given = spark.read.parquet(source)
+    stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    whole, calls = streams.write_scored_batch, []
+
+    def broken(model, batch, batch_id, root, keep):
+        calls.append(batch_id)
+        whole(model, batch, batch_id, root, keep)
+        if calls == [0, 1]:
+            raise RuntimeError("lost after both sinks were written")
+
+    monkeypatch.setattr(streams, "write_scored_batch", broken)
+    with pytest.raises(Exception, match="lost after"):
+        streams.score_to_end(model, stream, root, ["i"])
+    streams.score_to_end(model, stream, root, ["i"])
+    assert calls == [0, 1, 1, 2, 3]
+    scored = {r.i: r.suspicious_probability for r in spark.read.parquet(f"{root}/scores").collect()}
+    valid, rejected = models.accept_events(given)
+    want = {r.i: r.suspicious_probability for r in models.score_events(model, valid, ["i"]).collect()}
+    assert scored == want and spark.read.parquet(f"{root}/scores").count() == len(want)
+    assert spark.read.parquet(f"{root}/rejects").count() == rejected.count() > 0
+
+
 def test_unseen_category_is_all_zero(spark):
     train = spark.createDataFrame([("a",), ("b",)], "k string")
     out = features.encoded(train, spark.createDataFrame([("a",), ("zz",)], "k string"), ["k"]).collect()

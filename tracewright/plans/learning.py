@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from tracewright.plans.reference_sql import cte, sql
 from tracewright.plans.registry import query
 from tracewright.sources import testbed
 from tracewright.session import app_dir, materialize
+from tracewright.streaming import events as streams
 
 # ---------------------------------------------------------------- the event table as scoring rows
 
@@ -96,6 +99,30 @@ def score_events(spark, sf_dir):
     return models.score_events(_event_model(split), valid, ["i"])
 
 
+_LARGE = 100
+
+
+@query("streamed_scores", f"""
+SELECT event_id AS i, accepted, accepted AS scored_as_in_batch
+FROM (SELECT event_id, coalesce(floor(abs(value)) < {_LARGE} AND ts IS NOT NULL AND user_id IS NOT NULL
+                                AND event_type IS NOT NULL AND props IS NOT NULL, false) AS accepted FROM events)""")
+def streamed_scores(spark, sf_dir):
+    """Events scored as they arrive, large ones made invalid to be rejected, next to the same rows scored at once."""
+    model = _event_model(_event_split(spark, sf_dir))
+    large = F.col("bytes_in") >= _LARGE
+    root = f"{app_dir(spark)}/scored-{uuid.uuid4().hex}"
+    event_rows(spark, sf_dir).withColumn("bytes_in", F.when(large, -1).otherwise(F.col("bytes_in"))).repartition(6).write.parquet(f"{root}/in")
+    rows = spark.read.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    streams.score_to_end(model, stream, root, ["i"])
+    at_once = models.score_events(model, models.accept_events(rows)[0], ["i"]).select("i", F.col("suspicious_probability").alias("p"))
+    scores = spark.read.parquet(f"{root}/{streams.SCORES}").join(at_once, "i", "left").select(
+        "i", F.lit(True).alias("accepted"), F.col("suspicious_probability").eqNullSafe(F.col("p")).alias("scored_as_in_batch")
+    )
+    rejects = spark.read.parquet(f"{root}/{streams.REJECTS}").select("i", F.lit(False).alias("accepted"), F.lit(False).alias("scored_as_in_batch"))
+    return scores.unionByName(rejects)
+
+
 @query("saved_model_scores")
 def saved_model_scores(spark, sf_dir):
     split = _flows(spark, sf_dir)

@@ -92,10 +92,34 @@ def relation_recency_stream(events: DataFrame) -> DataFrame:
     )
 
 
-def score_stream(model: PipelineModel, events: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(scores of valid rows, rejected rows): two streams from one source."""
-    valid, rejected = models.accept_events(events)
-    return models.score_events(model, valid, keep), rejected
+SCORES, REJECTS = "scores", "rejects"
+
+
+def write_scored_batch(model: PipelineModel, batch: DataFrame, batch_id: int, root: str, keep: list[str] | None = None) -> None:
+    """Scores of a batch's valid rows and its rejected rows, each in the folder of its batch id.
+
+    A batch that is run again after a failure replaces what it wrote before, so nothing shows twice.
+    """
+    rows = batch.persist()  # both sinks take the one read
+    try:
+        valid, rejected = models.accept_events(rows)
+        models.score_events(model, valid, keep).write.mode("overwrite").parquet(f"{root}/{SCORES}/batch={batch_id}")
+        rejected.write.mode("overwrite").parquet(f"{root}/{REJECTS}/batch={batch_id}")
+    finally:
+        rows.unpersist()
+
+
+def score_to_end(model: PipelineModel, events: DataFrame, root: str, keep: list[str] | None = None) -> None:
+    """Score what is available into ``root``; goes on from the last batch that was finished."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_scored_batch(model, batch, batch_id, root, keep)
+
+    query = (
+        events.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
 
 
 def run_to_end(stream: DataFrame, sink_path: str, checkpoint: str, mode: str = "append"):
