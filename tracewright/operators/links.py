@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
 
 from tracewright.functions.columns import dot, draw, sigmoid
@@ -164,3 +168,56 @@ def safe_embeddings(
     wide = k_hop_features(features, edges, columns, hops)
     names = [c for c in wide.columns if c != "node_id"]
     return wide.select("node_id", F.array(*names).alias("embedding"))
+
+
+def trained_embeddings(
+    context: DataFrame, rank: int = 16, rounds: int = 10, strength: float = 0.1, weight: float = 10.0, seed: int = 42,
+) -> DataFrame:
+    """(node_id, sender, receiver) factors of the context pairs by alternating least squares.
+
+    Every context pair counts in both directions with confidence ``1 + weight``, every other pair of
+    nodes as a zero of confidence 1; no draw of negatives is needed, for their sum is one small matrix
+    that all blocks share. Nodes and pairs are dealt to blocks, and each half round solves the nodes of
+    one side. Node ids must be whole numbers below 2 ** 31.
+    """
+    both = context.unionByName(context.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("seen", F.lit(1.0))
+    blocks = max(1, int(context.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    model = ALS(
+        rank=rank, maxIter=rounds, regParam=strength, implicitPrefs=True, alpha=weight, userCol="a", itemCol="b", ratingCol="seen",
+        numUserBlocks=blocks, numItemBlocks=blocks, seed=seed, checkpointInterval=-1,
+    ).fit(materialize(both, "context"))
+    sender = model.userFactors.select(F.col("id").alias("node_id"), F.col("features").cast("array<double>").alias("sender"))
+    receiver = model.itemFactors.select(F.col("id").alias("node_id"), F.col("features").cast("array<double>").alias("receiver"))
+    return sender.join(receiver, "node_id")
+
+
+def affinity(pairs: DataFrame, factors: DataFrame) -> DataFrame:
+    """``pairs`` with the ``affinity`` of their ends, the mean of both directions; 0 for a node without factors."""
+    out = pairs
+    for end in PAIR:
+        out = lookup_as(out, factors, end, "node_id", {"sender": f"_{end}_s", "receiver": f"_{end}_r"}, PAIR, "left", count_on=pairs)
+    found = (dot("_a_s", "_b_r") + dot("_b_s", "_a_r")) / 2
+    return out.withColumn("affinity", F.coalesce(found, F.lit(0.0))).drop("_a_s", "_a_r", "_b_s", "_b_r")
+
+
+def calibrated(fit: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``probability`` and ``anomaly_score`` from affinities, by a logistic curve through labelled ``fit`` pairs."""
+    gather = VectorAssembler(inputCols=["affinity"], outputCol="_x")
+    curve = LogisticRegression(featuresCol="_x", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c").fit(gather.transform(fit))
+    p = vector_to_array("_p")[1]
+    out = curve.transform(gather.transform(pairs)).withColumn("probability", p)
+    return out.withColumn("anomaly_score", 1.0 - F.col("probability")).drop("_x", "_p", "_r", "_c")
+
+
+def trained_scores(split: DataFrame, targets: DataFrame, nodes: int, seed: int = 42, **settings) -> DataFrame:
+    """``targets`` of the test split with their probabilities.
+
+    The curve is fitted on validation pairs scored with factors of the training pairs; the test pairs
+    are scored with factors of what is earlier than they are. Neither sees a pair it is asked about.
+    """
+    held = link_targets(split, nodes, "validation", seed)
+    seen = context_pairs(split, "validation")
+    fit = affinity(require_no_leaked_pairs(held, seen), trained_embeddings(seen, seed=seed, **settings))
+    seen = context_pairs(split, "test")
+    found = affinity(require_no_leaked_pairs(targets, seen), trained_embeddings(seen, seed=seed, **settings))
+    return calibrated(materialize(fit, "fit"), materialize(found, "found"))

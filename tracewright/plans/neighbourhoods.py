@@ -8,6 +8,7 @@ from tracewright.operators import features, graph, leakage, links, propagation
 from tracewright.plans.metrics import rounded
 from tracewright.plans.reference_sql import cte, sql
 from tracewright.plans.registry import query
+from tracewright.session import materialize
 from tracewright.sources import testbed
 
 COLUMNS = ["log_outgoing_event_count", "log_incoming_event_count", "normalized_last_seen"]
@@ -369,3 +370,11 @@ def held_out_link_report(spark, sf_dir):
     nodes = features.standardized(_features(spark, sf_dir), COLUMNS, F.lit(True))
     vectors = links.safe_embeddings(nodes, links.context_pairs(split, "test"), COLUMNS)
     return links.reconstruction_report(links.decode(targets, vectors))
+
+
+@query("trained_link_report")
+def trained_link_report(spark, sf_dir):
+    """The same held-out pairs scored with factors that were trained on the context pairs."""
+    split, targets = _targets(spark, sf_dir)
+    split, targets = materialize(split, "split"), materialize(targets, "targets")
+    return links.reconstruction_report(links.trained_scores(split, targets, testbed.nodes(spark, sf_dir).count()))
