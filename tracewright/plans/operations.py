@@ -7,13 +7,13 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import monitoring, ordered
+from tracewright.operators import monitoring, ordered, quantile_profiles
 from tracewright.functions.columns import first_json_number
 from tracewright.plans.learning import event_rows, event_test_metrics
 from tracewright.plans.metrics import rounded, scored
 from tracewright.plans.reference_sql import cte, sql
 from tracewright.plans.registry import query
-from tracewright.session import app_dir
+from tracewright.session import app_dir, materialize
 from tracewright.sources import tables, testbed
 from tracewright.streaming import events as streams
 
@@ -81,6 +81,45 @@ def numeric_drift(spark, sf_dir):
     return rounded(monitoring.numeric_drift(*_halves(spark, sf_dir), ["value", "user_id"]))
 
 
+_POINTS = {"low": 0.05, "quarter": 0.25, "middle": 0.5, "three_quarters": 0.75, "high": 0.95}
+
+
+def _profiles(spark, sf_dir):
+    """Written profiles of the events by day."""
+    days = F.to_date("ts").cast("string")
+    return materialize(quantile_profiles.profiled(testbed.table(spark, sf_dir, "events"), ["value", "user_id"], days), "profiles")
+
+
+@query("profile_quantiles", "SELECT field, point, true AS within_bound FROM (VALUES ('value'), ('user_id')) f(field), (VALUES "
+       + ", ".join(f"('{p}')" for p in _POINTS) + ") p(point)")
+def profile_quantiles(spark, sf_dir):
+    """Quantiles from merged daily profiles, held against the exact ranks of the values."""
+    found = quantile_profiles.quantiles(_profiles(spark, sf_dir), _POINTS)
+    pairs = F.array(*[F.struct(F.lit(n).alias("point"), F.lit(p).alias("share"), F.col(n).alias("quantile")) for n, p in _POINTS.items()])
+    asked = found.select("field", F.inline(pairs))  # one row a field and point
+    events = testbed.table(spark, sf_dir, "events")
+    values = events.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in ("value", "user_id")
+    ])).alias("c")).select("c.*").filter("v is not null")
+    ranks = values.join(F.broadcast(asked), "field").groupBy("field", "point", "share").agg(
+        F.count_if(F.col("v") < F.col("quantile")).alias("below"), F.count_if(F.col("v") <= F.col("quantile")).alias("upto"), F.count("*").alias("n")
+    )
+    error = F.greatest(F.col("below") / F.col("n") - F.col("share"), F.col("share") - F.col("upto") / F.col("n"))
+    return ranks.select("field", "point", (error <= quantile_profiles.RANK_ERROR).alias("within_bound"))
+
+
+@query("profile_drift", "SELECT field, true AS agrees FROM (VALUES ('value'), ('user_id')) f(field)")
+def profile_drift(spark, sf_dir):
+    """Drift from stored profiles next to the exact figures."""
+    halves = _halves(spark, sf_dir)
+    stored = [materialize(quantile_profiles.profiled(h, ["value", "user_id"], F.lit("all")), "profiles") for h in halves]
+    exact = monitoring.numeric_drift(*halves, ["value", "user_id"]).select("field", F.col("ks_distance").alias("k"))
+    both = quantile_profiles.drift(*stored).join(exact, "field")
+    # Two ranks, each right to a step of the grid.
+    bound = 2 * quantile_profiles.RANK_ERROR + 2 / quantile_profiles.GRID
+    return both.select("field", (F.abs(F.col("ks_distance") - F.col("k")) <= bound).alias("agrees"))
+
+
 @query("categorical_drift", sql("SELECT * FROM category_drift_table"))
 def categorical_drift(spark, sf_dir):
     return rounded(monitoring.categorical_drift(*_halves(spark, sf_dir), ["event_type"]))
