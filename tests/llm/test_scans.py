@@ -258,3 +258,26 @@ def test_pages_odd_tables(spark):
     got = sorted(((r.page_id, len(r.text)) for r in html_text.extracted(given).collect()), key=str)
     assert len(got) == 6 and (1, 0) in got and (None, 0) in got and (2, 119_999) in got and got.count((3, 4)) == 2
     assert html_text.extracted(given.limit(0)).count() == 0
+
+
+def test_sample_holds_every_language_and_counts_copies_once(spark):
+    common = [(i, f"common words number {i}", "aa") for i in range(3000)]
+    ties = [(None, "the same words again", "aa")] * 500 + [(None, f"other words {i}", "aa") for i in range(100)]
+    rare = [(i, "seldom heard speech", "zz") for i in range(5000, 5003)] + [(6000, None, "nn")]
+    given = spark.createDataFrame(common + ties + rare, "doc_id bigint, text string, lang string")
+    of = Counter(lang for i, _, lang in rare if zlib.crc32(str(i).encode()) % 3 != 1)  # not held out
+    got = langid.sample(given, rows=90, chars=1_000_000).collect()
+    assert of["zz"] and Counter(r.lang for r in got) == {"aa": 90 // (1 + len(of)), **of}
+    assert Counter(r.text for r in got)["the same words again"] <= 1
+    # Characters are bounded as well; a language's first document stays, however long.
+    long = spark.createDataFrame([(i, "word " * 4000, "aa") for i in range(50)] + rare[:3], given.schema)
+    held = langid.sample(long, rows=300, chars=150_000).collect()
+    assert Counter(r.lang for r in held)["aa"] == 150_000 // 2 // 20_000
+    assert Counter(r.lang for r in langid.sample(long, rows=300, chars=3).collect())["aa"] == 1
+    assert set(langid.learned(given, rows=90).languages) >= {"aa", "zz"}
+
+
+def test_one_very_long_text_is_identified(spark):
+    rows = [(i, "una casa grande y bonita", "es") for i in range(40)] + [(i, "the house is large", "en") for i in range(40, 80)]
+    given = spark.createDataFrame([*rows, (99, "the large house " * 200_000, None)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.identified(given).collect()}[99] == "en"

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ORDER = 4
-# The sample: the documents with the smallest hash of their id, up to so many rows and characters in all.
+# The sample: of each language the documents with the smallest hashes, up to so many rows and characters in all.
 SAMPLE_ROWS = 12_000
 SAMPLE_CHARS = 40_000_000
 CALIBRATION = 5  # every so many documents of the sample calibrate
@@ -28,6 +28,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TOGETHER = 50_000
 _REJECTED = 0.001
+_PARTS = 256
 
 
 def _words(text: str | None) -> list[str]:
@@ -179,16 +180,30 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """``place``, ``text`` and ``lang`` of whole documents, within both bounds."""
-    given = docs.filter(learnable(docs)).select(F.xxhash64("doc_id").alias("place"), "text", "lang")
-    sizes = given.select("place", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy("place").limit(rows).collect()
-    last, total = None, 0
-    for r in sizes:  # at most ``rows`` small ones
-        total += r.n
-        if total > chars and last is not None:
-            break
-        last = r.place
-    return given.filter(F.lit(False) if last is None else F.col("place") <= last)
+    """``place``, ``text``, ``lang`` and whether it ``leads`` its language, of whole documents; both bounds are shared
+    out evenly over the languages.
+
+    A language gives its documents of the smallest hashes, at least one, whatever part of all rows it has.
+    Rows alike in id, text and language count once.
+    """
+    place = F.xxhash64("doc_id", "text")  # rows without an id differ by their text
+    given = docs.filter(learnable(docs)).select(place.alias("place"), "text", "lang")
+    languages = given.agg(F.countDistinct("lang")).first()[0]
+    share = lambda bound: max(bound // max(languages, 1), 1)
+    sizes = given.select("lang", "place", F.coalesce(F.length("text"), F.lit(0)).alias("n")).distinct()
+    # First within parts of a language, so that none of them has to be ranked as a whole.
+    part = F.pmod("place", F.lit(_PARTS))
+    ahead = sizes.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy("place")))
+    within = Window.partitionBy("lang").orderBy("place")
+    ranked = ahead.filter(F.col("rank") <= share(rows)).withColumn("rank", F.row_number().over(within))
+    so_far = F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    first = ranked.filter(F.col("rank") <= share(rows)).withColumn("chars", so_far)
+    leads = F.col("rank") == 1
+    picked = first.filter((F.col("chars") <= share(chars)) | leads).select("lang", "place", leads.alias("leads"))
+    # No more than ``rows`` rows, or one a language.
+    found = given.join(F.broadcast(picked), ["lang", "place"])
+    alike = found.groupBy("lang", "place", "leads").agg(F.first("text").alias("text"))
+    return alike.select("place", "text", "lang", "leads")
 
 
 def learned(docs: DataFrame, order: int = ORDER, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
@@ -197,7 +212,8 @@ def learned(docs: DataFrame, order: int = ORDER, rows: int = SAMPLE_ROWS, chars:
     The n-grams that reach the driver are no more than the sample's characters times ``order``.
     """
     picked = sample(docs, rows, chars)
-    calibrates = F.pmod(F.shiftright("place", 7), F.lit(CALIBRATION)) == 0
+    # A language's first document is always learned, so that no language is left out.
+    calibrates = (F.pmod(F.shiftright("place", 7), F.lit(CALIBRATION)) == 0) & ~F.col("leads")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
