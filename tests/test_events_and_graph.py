@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 from conftest import rows
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import columns as c
 from tracewright.operators import components, features, graph, leakage, normalize, profile, splits
 from tracewright.schemas import EDGE_SCHEMA, EVENT_SCHEMA, FAMILIES, NODE_SCHEMA, TableCheckError
+from tracewright.session import materialize
 from tracewright.sources import raw_logs, tables
 
 
@@ -226,6 +228,47 @@ def test_components_on_small_shapes(spark):
     assert (summary["component_count"], summary["largest_component_size"]) == (5, 5)
 
 
+def plain_strong(n, pairs):
+    """Smallest node that each node reaches and is reached by, from sets."""
+    ahead = [set() for _ in range(n)]
+    for a, b in pairs:
+        ahead[a].add(b)
+    reach = []
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            for b in ahead[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        reach.append(seen)
+    return {i: min(j for j in reach[i] if i in reach[j]) for i in range(n)}
+
+
+@pytest.mark.parametrize("n,edges,seed", [(60, 66, 1), (60, 75, 2), (40, 44, 3), (50, 120, 4)])
+def test_strong_components_of_random_graphs(spark, n, edges, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(edges)]
+    # Two rings, a chain from a node back to it, a chain within a cycle and one out of it.
+    for stretch in ([7, 23, 5, 31, 7], [2, n, n + 1, n + 2, 2], [3, n + 3, n + 4, 9, 3], [9, n + 5, n + 6, 1], [n + 9, n + 8, n + 7, n + 9]):
+        pairs += list(zip(stretch, stretch[1:]))
+    frame = spark.createDataFrame(pairs, "source_node_id bigint, destination_node_id bigint")
+    nodes = spark.range(n + 10).withColumnRenamed("id", "node_id")
+    assert dict(tuple(r) for r in components.strong_components(nodes, frame).collect()) == plain_strong(n + 10, pairs)
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_long_chains_take_few_rounds(spark, monkeypatch, closed):
+    n, written = 5000, []
+    monkeypatch.setattr(components, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    order = random.Random(0).sample(range(n), n)
+    pairs = list(zip(order, order[1:])) + [(order[-1], order[0])] * closed
+    frame = spark.createDataFrame(pairs, "source_node_id bigint, destination_node_id bigint")
+    nodes = spark.range(n).withColumnRenamed("id", "node_id")
+    found = components.strong_components(nodes, frame).collect()
+    assert len(found) == n and all(r.component == (0 if closed else r.node_id) for r in found)
+    assert len(written) <= 40
+
+
 def test_long_path_is_one_weak_component(spark):
     n = 200
     edges = spark.createDataFrame([(i + 1, i) for i in range(n)], "source_node_id bigint, destination_node_id bigint")

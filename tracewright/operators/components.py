@@ -2,8 +2,10 @@
 
 Weak components alternate the published large-star and small-star steps, which
 need a number of rounds that grows with the logarithm of the node count. Strong
-components trim nodes that lie on no cycle and then colour forward and collect
-backward, as in the published colouring method.
+components trim nodes that lie on no cycle, contract chains by pointer jumping in
+rounds that grow with the logarithm of their length, and then colour forward and
+collect backward, as in the published colouring method; what is left takes rounds
+by the path length between branching nodes.
 """
 
 from __future__ import annotations
@@ -71,20 +73,75 @@ def weak_components(
 
 
 def _trim(pairs: DataFrame) -> DataFrame:
-    """Drop edges at nodes without an incoming or an outgoing edge until none is left."""
-    rows = pairs.count()
-    while rows:
-        starts = pairs.select(F.col("a").alias("n")).distinct()
-        ends = pairs.select(F.col("b").alias("n")).distinct()
-        inner = starts.join(ends, "n", "left_semi")
-        kept = lookup(pairs, inner.select(F.col("n").alias("a")), ["a"], ["b"], "inner")
-        kept = lookup(kept, inner.select(F.col("n").alias("b")), ["b"], ["a"], "inner", count_on=pairs)
-        pairs = materialize(kept.select("a", "b"), "trim")
-        left = pairs.count()
-        if left == rows:
-            break
-        rows = left
-    return pairs
+    """Drop edges at nodes without an incoming or an outgoing edge, once."""
+    starts = pairs.select(F.col("a").alias("n")).distinct()
+    ends = pairs.select(F.col("b").alias("n")).distinct()
+    inner = starts.join(ends, "n", "left_semi")
+    kept = lookup(pairs, inner.select(F.col("n").alias("a")), ["a"], ["b"], "inner")
+    kept = lookup(kept, inner.select(F.col("n").alias("b")), ["b"], ["a"], "inner", count_on=pairs)
+    return materialize(kept.select("a", "b"), "trim")
+
+
+def _links(pairs: DataFrame) -> DataFrame:
+    """Nodes ``n`` with one way in and one way out: the nodes before (``head``) and behind (``tail``)."""
+    out = pairs.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("k"), F.min("b").alias("tail")).filter("k = 1")
+    into = pairs.groupBy(F.col("b").alias("n")).agg(F.count("*").alias("k"), F.min("a").alias("head")).filter("k = 1")
+    return out.drop("k").join(into.drop("k"), "n")
+
+
+def _jumped(links: DataFrame) -> DataFrame:
+    """``head`` and ``tail`` moved to the first nodes that are no links; a ring's ``least`` node instead.
+
+    Every round doubles the stretch that a link sees. As long as a chain is left, a round brings
+    some link to its tail and some to its head; when none does and no minimum falls, the rest are rings.
+    """
+    known = links.select("n", "head", "tail", F.col("n").alias("least"))
+    now, seen = materialize(known, "links"), None
+    while True:
+        ahead = now.select(F.col("n").alias("tail"), F.col("tail").alias("t2"), F.col("least").alias("l2"))
+        behind = now.select(F.col("n").alias("head"), F.col("head").alias("h2"))
+        both = lookup(lookup(now, ahead, ["tail"], ["n"]), behind, ["head"], ["n"], count_on=now)
+        fresh = materialize(
+            both.select(
+                "n", F.coalesce("h2", "head").alias("head"), F.coalesce("t2", "tail").alias("tail"),
+                F.least("least", "l2").alias("least"), F.col("t2").isNotNull().alias("open"), F.col("h2").isNotNull().alias("started"),
+            ),
+            "links",
+        )
+        discard(now)
+        now = fresh
+        lowest = F.sum(F.when(F.col("open"), F.col("least")).cast("decimal(38,0)"))
+        found = tuple(now.agg(F.count_if("open"), F.count_if("started"), lowest).first())
+        if not found[0] + found[1] or found == seen:
+            return now
+        seen = found
+
+
+def _contract(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs with an edge from head to tail in place of each chain, and the links.
+
+    A chain lies on a cycle exactly when its head and its tail are in one component.
+    """
+    links = _jumped(_links(pairs))
+    ids = links.select(F.col("n").alias("a"), F.lit(True).alias("linked"))
+    from_others = lookup(pairs, ids, ["a"], ["b"]).filter("linked is null").select("a", "b")
+    ends = links.filter("not open").select(F.col("n").alias("b"), "tail")
+    led = lookup(from_others, ends, ["b"], ["a"], count_on=pairs).select("a", F.coalesce("tail", "b").alias("b"))
+    return materialize(led.filter("a <> b").distinct(), "contracted"), links
+
+
+def _resolved(assigned: DataFrame, links: DataFrame) -> DataFrame:
+    """``assigned`` with the links that lie on cycles."""
+    ends = links.filter("not open").select("n", "head", "tail")
+    of = lambda name, root: assigned.select(F.col("n").alias(name), F.col("c").alias(root))
+    found = lookup(ends, of("head", "ch"), ["head"], ["n"])
+    found = lookup(found, of("tail", "ct"), ["tail"], ["n"], count_on=ends)
+    rooted = found.select("n", F.coalesce("ch", "head").alias("c"), F.coalesce("ct", "tail").alias("ct"))
+    # A chain from a node back to it puts that node on a cycle, alone or with others.
+    chains = rooted.filter("c = ct").select("n", "c")
+    rings = links.filter("open").select("n", F.col("least").alias("c"))
+    roots = chains.select(F.col("c").alias("n"), "c")
+    return assigned.unionByName(chains).unionByName(rings).unionByName(roots).distinct()
 
 
 def _spread_minimum(pairs: DataFrame, colours: DataFrame) -> DataFrame:
@@ -134,27 +191,47 @@ def strong_components(
 ) -> DataFrame:
     """``component`` of every node: the smallest node id it shares a directed cycle with."""
     pairs = materialize(_pairs(edges, source, destination), "strong")
-    parts = []
-    while True:
-        pairs = _trim(pairs)
-        if pairs.isEmpty():
-            break
+    rows, parts, chains = pairs.count(), [], []
+    while rows:
+        trimmed = _trim(pairs)
+        discard(pairs)
+        left = trimmed.count()
+        if 2 * left < rows:
+            pairs, rows = trimmed, left
+            continue
+        pairs, links = _contract(trimmed)
+        discard(trimmed)
+        chains.append((len(parts), links))
+        left = pairs.count()
+        if left < rows:
+            rows = left
+            continue
         ids = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
         colours = _spread_minimum(pairs, materialize(ids.withColumn("c", F.col("n")), "colour"))
         found = materialize(_collect_backward(pairs, colours), "found")
         parts.append(found)
         gone = found.select("n")
+        before = pairs
         pairs = materialize(
-            pairs.join(gone.withColumnRenamed("n", "a"), "a", "left_anti")
+            before.join(gone.withColumnRenamed("n", "a"), "a", "left_anti")
             .join(gone.withColumnRenamed("n", "b"), "b", "left_anti").select("a", "b"),
             "strong",
         )
-    if not parts:
-        return nodes.select("node_id", F.col("node_id").alias("component"))
-    assigned = reduce(DataFrame.unionByName, parts)
-    return nodes.select("node_id").join(
-        assigned.select(F.col("n").alias("node_id"), F.col("c").alias("component")), "node_id", "left"
-    ).select("node_id", F.coalesce("component", "node_id").alias("component"))
+        discard(before)
+        rows = pairs.count()
+    assigned = pairs.select(F.col("a").alias("n"), F.col("a").alias("c")).limit(0)  # no pair is left
+    # The last contraction first: the ends of a chain may be links of a later one.
+    for done, links in reversed(chains):
+        if parts[done:]:
+            assigned = reduce(DataFrame.unionByName, parts[done:], assigned)
+            parts = parts[:done]
+        if not links.isEmpty():
+            assigned = materialize(_resolved(assigned, links), "resolved")
+    least = assigned.groupBy("c").agg(F.min("n").alias("component"))
+    members = lookup(assigned, least, ["c"], ["n"]).select(F.col("n").alias("node_id"), "component")
+    return nodes.select("node_id").join(members, "node_id", "left").select(
+        "node_id", F.coalesce("component", "node_id").alias("component")
+    )
 
 
 def component_sizes(assigned: DataFrame) -> DataFrame:
