@@ -281,3 +281,15 @@ def test_one_very_long_text_is_identified(spark):
     rows = [(i, "una casa grande y bonita", "es") for i in range(40)] + [(i, "the house is large", "en") for i in range(40, 80)]
     given = spark.createDataFrame([*rows, (99, "the large house " * 200_000, None)], "doc_id bigint, text string, lang string")
     assert {r.doc_id: r.lang_pred for r in langid.identified(given).collect()}[99] == "en"
+
+
+def test_scans_at_one_time_give_each_span_once(spark):
+    texts = ["password = hunter2hunter2 " + "ab12" * 8, "key AKIA" + "Z" * 16, None, ""]
+    given = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id bigint, text string")
+    at = folder()
+    want = {r.doc_id: (r.spans, r.n_spans) for r in secret_scan.found_secrets(given, at).collect()}
+    scans = secret_scan.Ledger(spark, at).scans()
+    scans.write.mode("append").parquet(f"{at}/scans")  # what a second writer that began before would add
+    assert secret_scan.Ledger(spark, at).scans().count() == 6
+    assert {r.doc_id: (r.spans, r.n_spans) for r in secret_scan.found_secrets(given, at).collect()} == want
+    assert want[0][1] >= 2 and want[0] == want[4] and want[2] == ("", 0)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tracewright.operators.joins import lookup
 from tracewright.session import materialize
 
 _SPAN = "array<struct<start:bigint,end:bigint>>"
@@ -139,9 +140,9 @@ class Ledger:
         hits = self.scans().filter(F.size("spans") > 0).select("digest", F.explode("spans").alias("s"))
         hits = hits.select("digest", "s.*").withColumn("rank", F.array_position(kinds, F.col("rule"))).filter("rank > 0")
         kind = F.substring_index("rule", "@", 1)
-        # All spans of one text; they were one row of the ledger before.
-        spans = F.array_sort(F.collect_list(F.struct("start", "rank", "end", kind.alias("kind"))))
-        return rows.join(hits.groupBy("digest").agg(spans.alias("spans")), "digest", "left")
+        # All spans of one text. Scans at one time may both have read it, and then found the same.
+        spans = F.array_sort(F.collect_set(F.struct("start", "rank", "end", kind.alias("kind"))))
+        return lookup(rows, hits.groupBy("digest").agg(spans.alias("spans")), ["digest"], ["doc_id"])
 
 
 def _tagger(rule: Rule):
