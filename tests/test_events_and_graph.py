@@ -290,6 +290,17 @@ def test_flow_files_and_tabular_features(spark, tmp_path):
         tables.csv_files(spark, str(tmp_path / "none"))
 
 
+def test_flow_folder_may_hold_a_part_without_rows(spark, tmp_path):
+    (tmp_path / "a.csv").mkdir()
+    (tmp_path / "a.csv" / "part-0.csv").write_text("Destination Port,Label\n")
+    (tmp_path / "a.csv" / "part-1.csv").write_text("Destination Port,Label\n80,BENIGN\n22,DDoS\n")
+    df = tables.read_flow_csvs(spark, tables.csv_files(spark, str(tmp_path)))
+    assert sorted(r["Destination Port"] for r in df.collect()) == [22, 80]
+    (tmp_path / "b.csv").write_text("Destination Port,Label\n")
+    with pytest.raises(TableCheckError):
+        tables.read_flow_csvs(spark, tables.csv_files(spark, str(tmp_path)))
+
+
 def test_documents_are_quarantined(spark, tmp_path):
     (tmp_path / "good.json").write_text('{"f1": 0.5}')
     (tmp_path / "bad.json").write_text('1{"f1": 0.5}')

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from urllib.parse import unquote
 
@@ -57,19 +58,41 @@ def csv_files(spark: SparkSession, folder: str) -> list[str]:
     return found
 
 
+def _folders(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of ``paths``, or of what their patterns match, that are folders."""
+    found = []
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found += [s.getPath().toString() for s in fs.globStatus(target) or [] if s.isDirectory()]
+    return found
+
+
+def _bare(path: str) -> str:
+    """The path without its slashes after the scheme, which may be written as one or as three."""
+    return re.sub(r"^(\w+:)/+", r"\1/", path)
+
+
 def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Paths by header line, in one pass; every file must have a row behind its header."""
+    """Paths by header line, in one pass; every path, a file or a folder of parts, must have a row behind its headers.
+
+    A part of a folder may be a header alone: Spark writes one for an empty first partition.
+    """
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value",
         F.monotonically_increasing_id().alias("at"),
     )
     first = F.min_by("value", F.struct("block", "at"))
     found = lines.groupBy("path").agg(first.alias("header"), F.count("*").alias("lines")).orderBy("path").collect()
-    if not found or min(r["lines"] for r in found) < 2:
-        raise TableCheckError(f"flow files without rows: {[r['path'] for r in found if r['lines'] < 2] or paths}")
+    folders, rows = _folders(spark, paths), {}
     groups: dict[str, list[str]] = {}
     for r in found:  # one row per file
-        groups.setdefault(r["header"], []).append(unquote(r["path"]))
+        file = unquote(r["path"])
+        groups.setdefault(r["header"], []).append(file)
+        given = next((f for f in folders if _bare(file).startswith(f"{_bare(f)}/")), file)
+        rows[given] = rows.get(given, 0) + r["lines"] - 1
+    if not rows or min(rows.values()) < 1:
+        raise TableCheckError(f"flow files without rows: {sorted(f for f, n in rows.items() if n < 1) or paths}")
     return groups
 
 
