@@ -6,7 +6,7 @@ import logging
 
 from pyspark.sql import DataFrame, functions as F
 
-from tracewright.functions.columns import edge_type, node_key, norm, to_long_or
+from tracewright.functions.columns import edge_type, long_or, node_key, norm
 from tracewright.operators.joins import lookup, lookup_as
 from tracewright.operators.ordered import dense_index, group_index
 from tracewright.schemas import (
@@ -27,20 +27,22 @@ ENDPOINTS = ("source", "destination")
 def entities(events: DataFrame) -> DataFrame:
     """Distinct entities of both roles, one per node key.
 
-    Both roles leave one scan as an array and are merged before the shuffle.
+    Both roles leave one scan as an array. Equal ones are merged before anything is
+    normalised: a distinct of plain texts is hashed, a minimum of structs would be sorted.
     """
     role = F.explode(
         F.array(*[
             F.struct(
-                norm(f"{end}_entity_type").alias("entity_type"),
-                norm(f"{end}_entity").alias("entity_name"),
+                F.col(f"{end}_entity_type").cast("string").alias("entity_type"),
+                F.col(f"{end}_entity").cast("string").alias("entity_name"),
             )
             for end in ENDPOINTS
         ])
     )
+    given = events.select(role.alias("e")).select("e.*").distinct()
     return (
-        events.select(role.alias("e"))
-        .select("e.*", node_key("e.entity_type", "e.entity_name").alias("node_key"))
+        given.select(norm("entity_type").alias("entity_type"), norm("entity_name").alias("entity_name"))
+        .select("*", node_key("entity_type", "entity_name").alias("node_key"))
         .groupBy("node_key")
         .agg(F.min(F.struct("entity_type", "entity_name")).alias("e"))
         .select("e.entity_type", "e.entity_name", "node_key")
@@ -82,11 +84,11 @@ def build_edges(events: DataFrame, nodes: DataFrame) -> DataFrame:
         edge_type("event_family", "event_type").alias("edge_type"),
         norm("event_family").alias("event_family"),
         norm("event_type").alias("event_type"),
-        to_long_or("timestamp", -1).alias("timestamp"),
+        long_or(events, "timestamp", -1).alias("timestamp"),
         norm("event_result").alias("event_result"),
-        to_long_or("label", 0).alias("label"),
+        long_or(events, "label", 0).alias("label"),
         norm("source_file").alias("source_file"),
-        to_long_or("row_number", -1).alias("row_number"),
+        long_or(events, "row_number", -1).alias("row_number"),
     )
     base = rows
     for end in ENDPOINTS:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewright.functions.columns import UNKNOWN, event_id, norm, to_double_or, to_long_or
+from tracewright.functions.columns import UNKNOWN, event_id, long_or, norm, to_double_or
 from tracewright.schemas import EVENT_COLUMNS, FAMILIES, raw_columns, require_columns
 
 # Fixed value: event ids of the public log set start with it.
@@ -13,6 +13,7 @@ MISSING_TIME = -1
 
 
 def _common(
+    df: DataFrame,
     kind: str,
     event_type: Column,
     source: tuple[str, str],
@@ -25,7 +26,7 @@ def _common(
     family = FAMILIES[kind]
     return [
         event_id(prefix, id_part or family, "row_number").alias("event_id"),
-        to_long_or("timestamp", MISSING_TIME).alias("timestamp"),
+        long_or(df, "timestamp", MISSING_TIME).alias("timestamp"),
         F.lit(family).alias("event_family"),
         event_type.alias("event_type"),
         norm(source[0]).alias("source_entity"),
@@ -35,7 +36,7 @@ def _common(
         result.alias("event_result"),
         F.lit(label).cast("bigint").alias("label"),
         norm("source_file").alias("source_file"),
-        to_long_or("row_number", -1).alias("row_number"),
+        long_or(df, "row_number", -1).alias("row_number"),
     ]
 
 
@@ -50,7 +51,7 @@ def _checked(df: DataFrame, kind: str) -> DataFrame:
 def authentication(df: DataFrame, label: int = 0, prefix: str = PREFIX) -> DataFrame:
     return _checked(df, "auth").select(
         *_common(
-            "auth", F.concat(F.lit("auth_"), F.lower(norm("auth_orientation"))),
+            df, "auth", F.concat(F.lit("auth_"), F.lower(norm("auth_orientation"))),
             ("source_user", "user"), ("destination_host", "host"),
             F.lower(norm("result")), label, prefix,
         ),
@@ -61,7 +62,7 @@ def authentication(df: DataFrame, label: int = 0, prefix: str = PREFIX) -> DataF
 def dns(df: DataFrame, label: int = 0, prefix: str = PREFIX) -> DataFrame:
     return _checked(df, "dns").select(
         *_common(
-            "dns", F.lit("dns_resolution"), ("source_host", "host"),
+            df, "dns", F.lit("dns_resolution"), ("source_host", "host"),
             ("resolved_host", "host_or_domain"), F.lit(UNKNOWN), label, prefix,
         ),
         *_texts("source_host", "resolved_host"),
@@ -72,7 +73,7 @@ def network_flow(df: DataFrame, label: int = 0, prefix: str = PREFIX) -> DataFra
     measures = ["duration", "packet_count", "byte_count"]
     return _checked(df, "flows").select(
         *_common(
-            "flows", F.lit("network_flow"), ("source_host", "host"),
+            df, "flows", F.lit("network_flow"), ("source_host", "host"),
             ("destination_host", "host"), F.lit("observed"), label, prefix,
         ),
         *_texts("source_host", "destination_host", "source_port", "destination_port", "protocol"),
@@ -84,7 +85,7 @@ def process(df: DataFrame, label: int = 0, prefix: str = PREFIX) -> DataFrame:
     action = F.lower(norm("process_event"))
     return _checked(df, "proc").select(
         *_common(
-            "proc", F.concat(F.lit("process_"), action), ("source_user", "user"),
+            df, "proc", F.concat(F.lit("process_"), action), ("source_user", "user"),
             ("process_name", "process"), action, label, prefix,
         ),
         *_texts("source_user", "host", "process_name", "process_event"),
@@ -94,7 +95,7 @@ def process(df: DataFrame, label: int = 0, prefix: str = PREFIX) -> DataFrame:
 def ground_truth(df: DataFrame, label: int = 1, prefix: str = PREFIX) -> DataFrame:
     return _checked(df, "redteam").select(
         *_common(
-            "redteam", F.lit("redteam_activity"), ("source_user", "user"),
+            df, "redteam", F.lit("redteam_activity"), ("source_user", "user"),
             ("destination_host", "host"), F.lit("confirmed_redteam"), label, prefix,
             id_part="redteam",
         ),
