@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import ordered, sampling, temporal
 from tracewright.operators.joins import hot_keys, lookup
+from tracewright.plans import operations
 from tracewright.session import broadcast_limit
 
 
@@ -132,3 +133,14 @@ def test_window_cuts_use_truncated_floats():
     assert temporal.chronological_cuts(720) == (503, 612)
     with pytest.raises(ValueError):
         temporal.chronological_cuts(2)
+
+
+def test_a_slice_of_arriving_logs_has_a_file_from_each_task(spark, tmp_path):
+    times = spark.range(60).select(F.col("id").cast("string").alias("timestamp")).repartition(4)
+    seen = 0
+    for k in operations._arriving({"dns": times}, str(tmp_path)):
+        files = len(list((tmp_path / "dns").glob("*.parquet")))
+        assert files - seen > 1  # one before, whatever the size of the table
+        seen = files
+        found = spark.read.parquet(str(tmp_path / "dns")).agg(F.count("*"), F.max(F.col("timestamp").cast("int"))).first()
+        assert tuple(found) == (20 * (k + 1), 20 * (k + 1) - 1)

@@ -274,25 +274,25 @@ def drift_far_from_zero(spark, sf_dir):
 SLICES = 3
 
 
-def _arriving(spark, sf_dir) -> str:
-    """The raw logs cut by time, one file a slice and kind, written in order as logs arrive."""
-    root = f"{app_dir(spark)}/arriving-{uuid.uuid4().hex}"
-    landed = testbed.all_landed(spark, sf_dir)
+ALL_FILES = (1 << 31) - 1
+
+
+def _arriving(landed, root: str):
+    """The raw logs cut by time and written slice by slice as logs arrive, by as many tasks as read them."""
     time = F.col("timestamp").cast("bigint")
     ends = [df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first() for df in landed.values()]
     low, high = min(e["lo"] for e in ends), max(e["hi"] for e in ends)
     for k in range(SLICES):
         inside = F.floor((time - low) * SLICES / (high - low + 1)) == k
         for kind, df in landed.items():
-            df.filter(inside).coalesce(1).write.mode("append").parquet(f"{root}/{kind}")
-    return root
+            df.filter(inside).write.mode("append").parquet(f"{root}/{kind}")
+        yield k
 
 
-def _unified(spark, sf_dir):
-    """A stream that takes one slice a batch, so state and watermark pass from batch to batch."""
-    root = _arriving(spark, sf_dir)
+def _unified(spark, root: str):
+    """A stream whose next batch is all that has arrived."""
     return streams.unified_stream({
-        kind: streams.raw_stream(spark, f"{root}/{kind}", kind, max_files=1) for kind in ("auth", "dns", "flows", "proc", "redteam")
+        kind: streams.raw_stream(spark, f"{root}/{kind}", kind, max_files=ALL_FILES) for kind in ("auth", "dns", "flows", "proc", "redteam")
     })
 
 
@@ -307,16 +307,19 @@ def rocksdb_state(spark):
         spark.conf.set(name, before)
 
 
-def _drained(spark, stream, mode="append"):
+def _drained(spark, sf_dir, shape=lambda events: events, mode="append"):
+    """Every slice is drained when it has arrived; state and watermark pass on by the checkpoint."""
     root = f"{app_dir(spark)}/stream-{uuid.uuid4().hex}"
-    streams.run_to_end(stream, f"{root}/out", f"{root}/checkpoint", mode)
+    for _ in _arriving(testbed.all_landed(spark, sf_dir), f"{root}/arriving"):
+        stream = shape(_unified(spark, f"{root}/arriving"))
+        streams.run_to_end(stream, f"{root}/out", f"{root}/checkpoint", mode)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
 @query("streamed_events", sql("""
 SELECT event_id, "timestamp", event_type, source_entity, destination_entity, label FROM unified"""))
 def streamed_events(spark, sf_dir):
-    return _drained(spark, _unified(spark, sf_dir)).select(
+    return _drained(spark, sf_dir).select(
         "event_id", "timestamp", "event_type", "source_entity", "destination_entity", "label"
     )
 
@@ -329,7 +332,7 @@ WHERE "timestamp" // 3600 * 3600 + 3600 <= (SELECT max("timestamp") - 3600 FROM
 GROUP BY 1, 2, 3, 4"""))
 def streamed_hourly_counts(spark, sf_dir):
     """Windows the watermark has closed by the end of the input."""
-    out = _drained(spark, streams.hourly_relation_counts(_unified(spark, sf_dir)))
+    out = _drained(spark, sf_dir, streams.hourly_relation_counts)
     return out.withColumn("window_start", F.unix_seconds("window_start"))
 
 
@@ -347,4 +350,4 @@ SELECT *, round(avg(time_since_previous) OVER (
 FROM gaps"""))
 def streamed_recency(spark, sf_dir):
     with rocksdb_state(spark):
-        return rounded(_drained(spark, streams.relation_recency_stream(_unified(spark, sf_dir))))
+        return rounded(_drained(spark, sf_dir, streams.relation_recency_stream))
