@@ -6,10 +6,12 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tracewright.functions import columns
 from tracewright.operators import ordered, sampling, temporal
 from tracewright.operators.joins import hot_keys, lookup
 from tracewright.plans import operations
 from tracewright.session import broadcast_limit
+from tracewright.sources import testbed
 
 
 @pytest.fixture(scope="module")
@@ -144,3 +146,26 @@ def test_a_slice_of_arriving_logs_has_a_file_from_each_task(spark, tmp_path):
         seen = files
         found = spark.read.parquet(str(tmp_path / "dns")).agg(F.count("*"), F.max(F.col("timestamp").cast("int"))).first()
         assert tuple(found) == (20 * (k + 1), 20 * (k + 1) - 1)
+
+
+def test_flows_are_numbered_by_the_columns_they_are_made_of(spark, sf_dir):
+    """Only these are sorted and written, and their texts aren't written a second time."""
+    rows = testbed.landed(spark, sf_dir, "flows")
+    written = spark.read.parquet(rows.inputFiles()[0].rsplit("/", 1)[0]).columns
+    assert written == [*testbed.FLOW_ORDER, ordered.CHUNK, ordered.POSITION]
+
+
+def test_texts_are_stripped_as_python_does(spark):
+    texts = ["a", "ab", " a", "a　", " \t", "", None, "é", "a\nb", "\x1fx y\x85", "日 本", "~", "\x7f", "Redteam_Activity x", "\u212aey"]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", columns.strip("t"), columns.norm("t"), columns.contains_any("t", ["redteam_activity", "key"])
+    ).orderBy("i").collect()
+    for (i, plain, named, marked), t in zip(found, texts):
+        assert plain == (t if t is None else t.strip(columns.BLANKS)) and named == ((t or "").strip(columns.BLANKS) or "unknown")
+        assert marked == (t == "Redteam_Activity x")
+
+
+def test_whole_columns_are_read_like_texts(spark):
+    df = spark.createDataFrame([(1, "1"), (None, "x"), (-7, " -7 ")], "n int, t string")
+    found = df.select(columns.long_or(df, "n", -1), columns.to_long_or("n", -1), columns.long_or(df, "t", -1)).collect()
+    assert [tuple(r) for r in found] == [(1, 1, 1), (-1, -1, -1), (-7, -7, -7)]
