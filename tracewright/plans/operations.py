@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -296,17 +295,6 @@ def _unified(spark, root: str):
     })
 
 
-@contextmanager
-def rocksdb_state(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _drained(spark, sf_dir, shape=lambda events: events, mode="append"):
     """Every slice is drained when it has arrived; state and watermark pass on by the checkpoint."""
     root = f"{app_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -349,5 +337,8 @@ SELECT *, round(avg(time_since_previous) OVER (
          ORDER BY "timestamp", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS mean_previous_gap
 FROM gaps"""))
 def streamed_recency(spark, sf_dir):
-    with rocksdb_state(spark):
-        return rounded(_drained(spark, sf_dir, streams.relation_recency_stream))
+    """Every slice is drained when it has arrived; the history of the relations passes on from batch to batch."""
+    root = f"{app_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for _ in _arriving(testbed.all_landed(spark, sf_dir), f"{root}/arriving"):
+        streams.recency_to_end(_unified(spark, f"{root}/arriving"), root)
+    return rounded(spark.read.parquet(f"{root}/{streams.RECENCY}").drop("batch"))

@@ -89,7 +89,7 @@ def scratch() -> Iterator[list[DataFrame]]:
             _scopes[-1].extend(df for df in made if df.materialized_path in paths)
 
 
-def _delete(spark: SparkSession, folder: str) -> bool:
+def delete_folder(spark: SparkSession, folder: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -97,12 +97,12 @@ def _delete(spark: SparkSession, folder: str) -> bool:
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that no frame still in use reads."""
     for df in tables:
-        _delete(df.sparkSession, df.materialized_path)
+        delete_folder(df.sparkSession, df.materialized_path)
 
 
 def release(spark: SparkSession) -> bool:
     """Delete every table this application has materialised."""
-    return _delete(spark, app_dir(spark))
+    return delete_folder(spark, app_dir(spark))
 
 
 def planned_bytes(df: DataFrame) -> int:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tracewright.functions.columns import edge_type
 from tracewright.operators import models, normalize
 from tracewright.schemas import raw_schema
+from tracewright.session import delete_folder
 
 RELATION = ["source_entity", "edge_type", "destination_entity"]
 
@@ -45,51 +43,78 @@ def hourly_relation_counts(events: DataFrame, delay: str = "1 hour", width: str
     )
 
 
-RECENCY_SCHEMA = (
-    "event_id string, source_entity string, edge_type string, destination_entity string, "
-    "timestamp bigint, event_count_so_far bigint, last_seen_timestamp bigint, "
-    "time_since_previous bigint, first_seen_timestamp bigint, mean_previous_gap double"
-)
+# Written per batch: the features of its events, and for all relations so far count, first and last time.
+RECENCY, HISTORY = "recency", "history"
+HISTORY_SCHEMA = "source_entity string, edge_type string, destination_entity string, n bigint, first bigint, last bigint"
 
 
-class RelationRecency(StatefulProcessor):
-    """Count, first time and last time per relation are all the history the features need."""
+def _history(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """What is known of every relation after a batch; nothing before the first."""
+    if batch_id < 0:
+        return spark.createDataFrame([], HISTORY_SCHEMA)
+    return spark.read.schema(HISTORY_SCHEMA).parquet(f"{root}/{HISTORY}/{batch_id}")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seen = handle.getValueState("seen", "n bigint, first bigint, last bigint")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n, first, last = self._seen.get() if self._seen.exists() else (0, None, None)
-        for time, name in sorted((row.timestamp, row.event_id) for row in rows):
-            first = time if first is None else first
-            n += 1
-            mean = (last - first) / (n - 2) if n >= 3 else None
-            gap = None if last is None else time - last
-            yield Row(
-                event_id=name, source_entity=key[0], edge_type=key[1], destination_entity=key[2],
-                timestamp=time, event_count_so_far=n, last_seen_timestamp=last,
-                time_since_previous=gap, first_seen_timestamp=first, mean_previous_gap=mean,
-            )
-            last = time
-        self._seen.update((n, first, last))
+def relation_recency(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """Recency of a batch's events, after what ``history`` knows of their relations.
 
-    def close(self) -> None:
-        pass
+    A relation's history stands before its events in one sort, so that no join is needed.
+    """
+    nothing = F.lit(None).cast("bigint")
+    events = rows.select(*RELATION, "event_id", "timestamp", nothing.alias("n"), nothing.alias("first"), nothing.alias("last"))
+    known = history.select(*RELATION, F.lit(None).cast("string").alias("event_id"), nothing.alias("timestamp"), "n", "first", "last")
+    both = events.unionByName(known).withColumn("_event", F.col("n").isNull())
+    w = W.partitionBy(*RELATION).orderBy("_event", "timestamp", "event_id")
+    placed = both.select(
+        *RELATION, "event_id", "timestamp", "_event",
+        # The history is one row, and counts for ``n`` events.
+        (F.row_number().over(w) + F.coalesce(F.first("n").over(w) - 1, F.lit(0))).cast("bigint").alias("n"),
+        F.lag(F.coalesce("timestamp", "last")).over(w).alias("last"),
+        F.first(F.coalesce("timestamp", "first")).over(w).alias("first"),
+    ).filter("_event")
+    mean = F.when(F.col("n") >= 3, (F.col("last") - F.col("first")) / (F.col("n") - 2))
+    return placed.select(
+        "event_id", *RELATION, "timestamp", F.col("n").alias("event_count_so_far"), F.col("last").alias("last_seen_timestamp"),
+        (F.col("timestamp") - F.col("last")).alias("time_since_previous"), F.col("first").alias("first_seen_timestamp"),
+        mean.cast("double").alias("mean_previous_gap"),
+    )
 
 
-def relation_recency_stream(events: DataFrame) -> DataFrame:
-    """Running recency per relation over an ordered stream.
+def write_recency_batch(batch: DataFrame, batch_id: int, root: str) -> None:
+    """Features of a batch and the history after it, each in the folder of its batch id.
 
-    A batch must not bring events older than those before it, as with a log that is
-    read in file order. Needs the RocksDB state store.
+    A batch that is run again after a failure starts from the history before it and replaces what it wrote.
+    """
+    spark = batch.sparkSession
+    before = _history(spark, root, batch_id - 1)
+    found = relation_recency(batch, before)
+    out = f"{root}/{RECENCY}/batch={batch_id}"
+    found.write.mode("overwrite").option("compression", "zstd").parquet(out)
+    # The last event of a relation says all; relations without an event keep what they had.
+    now = spark.read.schema(found.schema).parquet(out).select(
+        *RELATION, F.col("event_count_so_far").alias("n"), F.col("first_seen_timestamp").alias("first"), F.col("timestamp").alias("last")
+    )
+    latest = before.unionByName(now).groupBy(*RELATION).agg(
+        F.max("n").alias("n"), F.max_by("first", "n").alias("first"), F.max_by("last", "n").alias("last")
+    )
+    latest.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{HISTORY}/{batch_id}")
+    delete_folder(spark, f"{root}/{HISTORY}/{batch_id - 2}")  # no batch to come starts from it
+
+
+def recency_to_end(events: DataFrame, root: str) -> None:
+    """Running recency per relation of what is available, into ``root``; goes on from the last batch that was finished.
+
+    A batch must not bring events older than those before it, as with a log that is read in file order.
     """
     rows = events.select(
         "event_id", "source_entity", edge_type("event_family", "event_type").alias("edge_type"),
         "destination_entity", "timestamp",
     )
-    return rows.groupBy(*RELATION).transformWithState(
-        RelationRecency(), RECENCY_SCHEMA, outputMode="Append", timeMode="None"
+    query = (
+        rows.writeStream.foreachBatch(lambda batch, batch_id: write_recency_batch(batch, batch_id, root))
+        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     )
+    query.awaitTermination()
 
 
 SCORES, REJECTS = "scores", "rejects"
