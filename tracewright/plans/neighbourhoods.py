@@ -260,7 +260,7 @@ def _pairs(spark, sf_dir):
 
 
 def _targets(spark, sf_dir):
-    split = links.split_pairs(_pairs(spark, sf_dir))
+    split = materialize(links.split_pairs(_pairs(spark, sf_dir)), "split")
     return split, links.link_targets(split, testbed.nodes(spark, sf_dir).count(), "test")
 
 
@@ -376,5 +376,5 @@ def held_out_link_report(spark, sf_dir):
 def trained_link_report(spark, sf_dir):
     """The same held-out pairs scored with factors that were trained on the context pairs."""
     split, targets = _targets(spark, sf_dir)
-    split, targets = materialize(split, "split"), materialize(targets, "targets")
+    targets = materialize(targets, "targets")
     return links.reconstruction_report(links.trained_scores(split, targets, testbed.nodes(spark, sf_dir).count()))
