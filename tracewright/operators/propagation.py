@@ -22,9 +22,15 @@ def weighted_pairs(edges: DataFrame, undirected: bool = False, dedupe: bool = Tr
     pairs = edges.select(
         F.col("source_node_id").alias("src"), F.col("destination_node_id").alias("dst")
     )
+    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    if undirected and dedupe:
+        # Either direction is shuffled once, as the one with the smaller end first (a null one before others).
+        turned = F.coalesce(F.col("dst") < F.col("src"), F.col("dst").isNull() & F.col("src").isNotNull())
+        low, high = F.when(turned, F.col("dst")).otherwise(F.col("src")), F.when(turned, F.col("src")).otherwise(F.col("dst"))
+        once = pairs.select(low.alias("src"), high.alias("dst")).distinct()
+        return once.select(F.inline(F.array_distinct(both))).withColumn("n", F.lit(1).cast("bigint"))
     if undirected:
-        both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-        pairs = pairs.select(both.alias("p")).select("p.src", "p.dst")
+        pairs = pairs.select(F.inline(both))
     n = F.lit(1).cast("bigint") if dedupe else F.count("*")
     return pairs.groupBy("src", "dst").agg(n.alias("n"))
 
@@ -110,11 +116,12 @@ def self_and_neighbours(
     how: str = "mean", undirected: bool = False,
 ) -> DataFrame:
     """``x Ws + mean(neighbours) Wn`` per node."""
+    features = materialize(features.select("node_id", *columns), "features")  # read three times
     around = neighbour_aggregate(features, edges, columns, how, undirected)
     renamed = around.select("node_id", *[F.col(c).alias(f"_n_{c}") for c in columns])
     own = linear(columns, self_weights)
     other = linear([f"_n_{c}" for c in columns], neighbour_weights)
-    return features.select("node_id", *columns).join(renamed, "node_id").select(
+    return features.join(renamed, "node_id").select(
         "node_id", *[(own[z] + other[z]).alias(z) for z in own]
     )
 
@@ -216,7 +223,7 @@ def k_hop_features(
             F.col("src").alias("source_node_id"), F.col("dst").alias("destination_node_id")
         ), "pairs",
     )
-    current = features.select("node_id", *columns)
+    current = materialize(features.select("node_id", *columns), "features")
     out = current
     for k in range(1, hops + 1):
         current = materialize(normalized_propagation(current, pairs, columns, undirected=False), "hop")
