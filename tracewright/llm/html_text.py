@@ -264,7 +264,7 @@ def site_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SH
     enough = (F.col("pages") >= small) & ~F.col("marked") | (F.col("n") > share * F.col("pages"))
     many = lookup(counts, sizes, ["host"], ["subtree"], "inner").filter(enough).select("host", "subtree")
     many = materialize(many, "many")
-    found = lookup(rows, many, ["host", "subtree"], ["page"], "inner")
+    found = lookup(rows, many, ["host", "subtree"], ["page"], "inner", force_salt=True)
     return found.groupBy("host", "page").agg(F.collect_list("subtree").alias("templates"))
 
 
@@ -276,7 +276,8 @@ def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE,
     """
     templates = materialize(site_templates(pages, least, share, small), "templates")
     given = pages.select("page_id", "url", "html").withColumns({"host": host(F.col("url")), "page": F.xxhash64("html")})
-    joined = lookup(given, templates, ["host", "page"], ["page_id", "url"]).select("page_id", "url", "html", "templates")
+    # By shuffle at any size, for templates grow with the pages: what small runs cost says what large ones do.
+    joined = lookup(given, templates, ["host", "page"], ["page_id", "url"], force_salt=True).select("page_id", "url", "html", "templates")
 
     @F.pandas_udf("string")
     def text(htmls: pd.Series, found: pd.Series) -> pd.Series:

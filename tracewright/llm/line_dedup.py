@@ -246,10 +246,11 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     """
     bitmaps = line_bitmaps(docs, min_docs, min_chars, keep_first)
     text = F.col("text").cast("string")
-    # A struct, for a null id must find its bitmap as well.
+    # A struct, for a null id must find its bitmap as well. Joined by shuffle at any size: bitmaps grow with the
+    # documents, and one way makes what small runs cost say what large ones do.
     given = docs.select("doc_id", text.alias("text"), F.struct(*_document(text)).alias("document"), F.size(_lines(text)).cast("bigint").alias("n_lines"))
     side = bitmaps.select(F.struct(*DOCUMENT).alias("document"), "n_dropped", "bitmap")
-    joined = lookup(given, side, ["document"], ["doc_id"], "left", _DOCS_PER_TASK)
+    joined = lookup(given, side, ["document"], ["doc_id"], "left", _DOCS_PER_TASK, force_salt=True)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, maps: pd.Series) -> pd.Series:

@@ -51,6 +51,8 @@ def lookup(
     salted = rows.join(marked, on, "left").withColumn("_salt", F.coalesce(spread, F.lit(0)))
     copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
     repeated = dim.join(marked, on, "left").withColumn("_salt", F.explode(copies)).drop("_parts")
+    if force_salt:  # Catalyst would still send a small dimension to all tasks
+        repeated = repeated.hint("merge")
     return salted.drop("_parts").join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
