@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tracewright.operators import links, propagation
+from tracewright.operators.joins import lookup
 from tracewright.streaming import events as streams
 
 FEATURES = "event_id, event_count_so_far, last_seen_timestamp, time_since_previous, first_seen_timestamp, mean_previous_gap"
@@ -98,3 +99,11 @@ def test_undirected_pairs_are_shuffled_in_one_direction(spark):
     assert len(found) == len(want) and set(found) == want
     plan = propagation.weighted_pairs(edges, undirected=True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")  # the shuffle comes before the second direction
+
+
+def test_forced_lookup_shuffles_a_small_dimension(spark):
+    given = spark.range(50).select((F.col("id") % 7).alias("k"), "id")
+    dim = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    found = lookup(given, dim, ["k"], ["id"], force_salt=True)
+    assert rows(found.na.fill(-1), "id", "v") == rows(given.join(dim, "k", "left").na.fill(-1), "id", "v")
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
