@@ -109,3 +109,28 @@ def test_one_class_of_values(spark):
 def test_flow_query(spark, sf_dir):
     row = learning.fit_flow_boosted_trees(spark, sf_dir).first()
     assert 0 < row["trees"] <= row["rounds"] <= 1000
+
+
+def test_tree_ends_are_looked_up_as_they_are_walked():
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 9, (500, 3)).astype(np.int16)
+    for depth in (1, 3, 5):
+        tree = boosting.Tree.empty(depth)
+        inner = (1 << depth) - 1
+        tree.feature[:inner], tree.cut[:inner] = rng.integers(0, 3, inner), rng.integers(0, 8, inner)
+        tree.feature[1:3] = tree.feature[1:3] if depth > 3 else -1
+        assert (tree.walker()(np.ascontiguousarray(bins.T)) == tree._walked(bins)).all()
+
+
+def test_margins_of_many_rows_are_written_sooner(spark, monkeypatch):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(rng.random(), rng.random(), rng.random(), int(rng.random() < 0.4)) for _ in range(300)], [*COLUMNS, "label"])
+    settings, written = boosting.Settings(rounds=20, held_share=0.0), []
+    refreshed = boosting._refreshed
+    monkeypatch.setattr(boosting, "_refreshed", lambda rows, width, recent: written.append(len(recent)) or refreshed(rows, width, recent))
+    seldom = boosting.fit(df, COLUMNS, settings=settings)
+    assert written == []
+    monkeypatch.setattr(boosting, "SMALL_ROWS", 10)
+    often = boosting.fit(df, COLUMNS, settings=settings, edges=seldom.edges)
+    assert written == [8, 8]
+    assert all((a.feature == b.feature).all() and (a.value == b.value).all() for a, b in zip(seldom.trees, often.trees))

@@ -4,14 +4,15 @@ Features are cut once into quantile bins and equal binned rows merge with their
 tree costs one aggregate: each task adds up gradients and hessians of its rows by open node, feature
 and bin, Spark adds the tasks, and the driver picks splits from as many numbers as there are nodes,
 features and bins. Sums are whole numbers of a fixed unit, so that their order does not matter.
-Margins of all trees so far are written every few rounds; a task applies only the trees since.
+Merged rows are packed once into blocks of contiguous columns. Margins of all trees so far are written
+every few rounds, the sooner the more rows there are; a task applies only the trees since.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,8 +26,11 @@ from tracewright.session import discard, materialize
 BINS = 64
 # Gradients and hessians are whole multiples of this.
 UNIT = 2.0**-24
-# Rounds between two writings of the margins.
-REFRESH = 40
+# Rounds between two writings of the margins: as many for a small table, for which a job costs most, and for one of
+# many rows, where the trees since would cost most.
+REFRESH, REFRESH_LARGE, SMALL_ROWS = 40, 8, 1_000_000
+# Inner nodes of a tree whose ends are looked up in a table.
+TABLE_BITS = 15
 # Rows of a task that scans the merged rows.
 ROWS_PER_TASK = 500_000
 
@@ -60,8 +64,34 @@ class Tree:
         n = (2 << depth) - 1
         return Tree(np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n))
 
+    def walker(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from columns of bins to the node each row ends in.
+
+        Every inner node is compared for all rows at once; the answers are the bits of a place in a table of ends.
+        """
+        inner = np.flatnonzero(self.feature >= 0)
+        if len(inner) > TABLE_BITS:
+            return lambda columns: self._walked(columns.T)
+        bit = np.zeros(len(self.feature), np.int64)
+        bit[inner] = np.arange(len(inner))
+        codes = np.arange(1 << len(inner))
+        ends = np.zeros(len(codes), np.int64)
+        while (going := self.feature[ends] >= 0).any():
+            ends = np.where(going, 2 * ends + 1 + ((codes >> bit[ends]) & 1), ends)
+
+        def walk(columns: np.ndarray) -> np.ndarray:
+            code = np.zeros(columns.shape[1], np.uint16)
+            for i, node in enumerate(inner):
+                code |= (columns[self.feature[node]] > self.cut[node]).astype(np.uint16) << np.uint16(i)
+            return ends.take(code)
+
+        return walk
+
     def places(self, bins: np.ndarray) -> np.ndarray:
         """The node each row ends in."""
+        return self.walker()(bins.T)
+
+    def _walked(self, bins: np.ndarray) -> np.ndarray:
         at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
         while True:
             feature = self.feature[at]
@@ -110,14 +140,53 @@ def merged_rows(df: DataFrame, columns: list[str], edges: list[np.ndarray], labe
     return rows.withColumn("held", F.pmod("id", F.lit(1 << 20)) < int(settings.held_share * (1 << 20))).withColumn("margin", F.lit(0.0))
 
 
-def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return batch.column("bins").flatten().to_numpy().reshape(-1, width)
+_KINDS = {"bins": np.int16, "label": np.int8, "n": np.int64, "id": np.int64, "held": np.bool_, "margin": np.float64}
+BLOCKS = ", ".join(f"{name} binary" for name in _KINDS)
+
+
+@dataclass
+class Block:
+    """Merged rows as arrays; ``bins`` has a row for each feature."""
+
+    bins: np.ndarray
+    label: np.ndarray
+    n: np.ndarray
+    id: np.ndarray
+    held: np.ndarray
+    margin: np.ndarray
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, width: int) -> Block:
+        """From a batch of merged rows."""
+        bins = np.ascontiguousarray(batch.column("bins").flatten().to_numpy().reshape(-1, width).T)
+        return Block(bins, *[batch.column(c).to_numpy(zero_copy_only=False) for c in list(_KINDS)[1:]])
 
+    def pack(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({name: [getattr(self, name).astype(kind).tobytes()] for name, kind in _KINDS.items()})
 
-def _margins(batch: pa.RecordBatch, bins: np.ndarray, recent: list[Tree]) -> np.ndarray:
-    out = batch.column("margin").to_numpy().copy()
-    for tree in recent:
-        out += tree.value[tree.places(bins)]
+    @staticmethod
+    def unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Block]:
+        for batch in batches:
+            for row in zip(*[batch.column(c) for c in _KINDS]):
+                bins, *rest = (np.frombuffer(x.as_py(), kind) for x, kind in zip(row, _KINDS.values()))
+                yield Block(bins.reshape(width, -1), *rest)
+
+
+def packed(rows: DataFrame, width: int) -> DataFrame:
+    """Merged rows as blocks, one an Arrow batch."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield Block.of(batch, width).pack()
+
+    return rows.mapInArrow(pack, BLOCKS)
+
+
+def _margins(block: Block, recent: list[tuple[np.ndarray, Callable]]) -> np.ndarray:
+    out = block.margin.copy()
+    for value, walk in recent:
+        out += value[walk(block.bins)]
     return out
 
 
@@ -146,19 +215,19 @@ def histograms(
         totals, loss, count = np.zeros((2, slots)), 0.0, 0
         place_of = np.full(len(tree.value), -1)
         place_of[nodes] = np.arange(len(nodes))
-        for batch in batches:
-            x = _matrix(batch, width)
-            margin, n = _margins(batch, x, recent), batch.column("n").to_numpy()
-            y, held = batch.column("label").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
+        walks, walk = [(t.value, t.walker()) for t in recent], tree.walker()
+        for block in Block.unpacked(batches, width):
+            margin, n, y, held = _margins(block, walks), block.n, block.label, block.held
             loss += float((n * np.logaddexp(0, np.where(y == 1, -margin, margin)))[held].sum())
             count += int(n[held].sum())
-            place = place_of[tree.places(x)]
+            place = place_of[walk(block.bins)]
             use = ~held & (place >= 0)
             if first:
-                use &= _drawn(batch.column("id").to_numpy(), turn + settings.seed * 100_003, settings.row_share)
+                use &= _drawn(block.id, turn + settings.seed * 100_003, settings.row_share)
             g, h = gradients(margin[use], y[use], n[use] * np.where(y[use] == 1, ratio, 1.0))
+            at = place[use] * width * bins
             for f in range(width):
-                slot = (place[use] * width + f) * bins + x[use, f]
+                slot = at + (f * bins + block.bins[f][use])
                 totals[0] += np.bincount(slot, g, slots)
                 totals[1] += np.bincount(slot, h, slots)
         some = np.flatnonzero(totals.any(axis=0))
@@ -240,11 +309,14 @@ def fit(
     edges = bin_edges(train, columns, bins) if edges is None else edges
     bins = max(map(len, edges)) + 2
     merged = materialize(merged_rows(train, columns, edges, label, settings), "merged")
-    tasks = -(-merged.count() // ROWS_PER_TASK) or 1
+    count = merged.count()
+    tasks = -(-count // ROWS_PER_TASK) or 1
     # As many tasks as the rows need, and every core of a small session.
-    rows = materialize(merged.repartition(max(tasks, train.sparkSession.sparkContext.defaultParallelism)), "binned")
+    spread, width = merged.repartition(max(tasks, train.sparkSession.sparkContext.defaultParallelism)), len(columns)
+    rows = materialize(packed(spread, width), "binned")
     discard(merged)
-    model, recent, best, width = Boosted(columns, edges, []), [], (math.inf, 0), len(columns)
+    refresh = min(REFRESH, max(REFRESH_LARGE, REFRESH * SMALL_ROWS // max(count, 1)))
+    model, recent, best = Boosted(columns, edges, []), [], (math.inf, 0)
     for turn in range(settings.rounds + 1):
         if turn == settings.rounds:
             if settings.held_share:
@@ -262,7 +334,7 @@ def fit(
         model.trees.append(tree)
         model.rounds += 1
         recent.append(tree)
-        if len(recent) == REFRESH:
+        if len(recent) >= refresh:
             rows = _refreshed(rows, width, recent)
             recent = []
     discard(rows)
@@ -273,11 +345,12 @@ def fit(
 
 def _refreshed(rows: DataFrame, width: int, recent: list[Tree]) -> DataFrame:
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margin = pa.array(_margins(batch, _matrix(batch, width), recent))
-            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", margin)
+        walks = [(t.value, t.walker()) for t in recent]
+        for block in Block.unpacked(batches, width):
+            block.margin = _margins(block, walks)
+            yield block.pack()
 
-    out = materialize(rows.mapInArrow(moved, rows.schema), "binned")
+    out = materialize(rows.mapInArrow(moved, BLOCKS), "binned")
     discard(rows)
     return out
 
