@@ -169,3 +169,28 @@ def test_whole_columns_are_read_like_texts(spark):
     df = spark.createDataFrame([(1, "1"), (None, "x"), (-7, " -7 ")], "n int, t string")
     found = df.select(columns.long_or(df, "n", -1), columns.to_long_or("n", -1), columns.long_or(df, "t", -1)).collect()
     assert [tuple(r) for r in found] == [(1, 1, 1), (-1, -1, -1), (-7, -7, -7)]
+
+
+def test_long_relations_are_sorted_by_one_number(skewed, monkeypatch):
+    orders = []
+    chunked = temporal.chunked
+    monkeypatch.setattr(temporal, "chunked", lambda rows, order, *rest: orders.append((order, rows.schema[order[0]].dataType.simpleString())) or chunked(rows, order, *rest))
+    got = temporal.relationship_recency(skewed, rows_per_key=10, partitions=5)
+    assert orders == [([temporal.NUMBER, "timestamp", "edge_id"], "bigint")]
+    assert got.columns == temporal.relationship_recency(skewed).columns
+
+
+def test_narrow_edges_are_columns_of_the_edges(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(testbed, "_landed", {})
+    names = ["source_node_id", "destination_node_id", "label"]
+    narrow = testbed.narrow_edges(spark, sf_dir, names)
+    assert not any(name in ("events", "edges") for _, _, name in testbed._landed)
+    whole = testbed.edges(spark, sf_dir).select(names)
+    assert narrow.columns == names and narrow.exceptAll(whole).isEmpty() and whole.exceptAll(narrow).isEmpty()
+
+
+def test_texts_of_visible_ends_are_told_without_a_regular_expression(spark):
+    texts = ["a", "!", "~", "\x7f", " a", "a ", "a\nb", "é", "aé", "éa", "", " ", "　x", "x\x1f", "a b"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", columns.norm("t").alias("n"), columns.strip("t").alias("s"))
+    assert {(r.t, r.n, r.s) for r in df.collect()} == {(t, t.strip() or "unknown", t.strip()) for t in texts} | {(None, "unknown", None)}
+    assert "RLIKE" not in str(columns.strip("t")).upper()

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tracewright.operators.leakage import ground_truth_mask
 from tracewright.operators.ordered import CHUNK, POSITION, chunked
 from tracewright.schemas import require_columns
+from tracewright.session import materialize
 
 WINDOW_SECONDS = 3600
 TRAIN_SHARE, VALIDATION_SHARE = 0.70, 0.15
@@ -15,6 +16,8 @@ RELATION = ["split", "source_node_id", "edge_type", "destination_node_id"]
 ROWS_PER_KEY = 1_000_000
 # So many keys at most can pass the size test below; their table stays small enough to broadcast.
 HOT_KEY_LIMIT = 200_000
+# The number of a long relation, which is sorted, shuffled and grouped by in place of its four columns.
+NUMBER = "_relation"
 
 
 def chronological_cuts(
@@ -146,30 +149,31 @@ def _local(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def _hot_relations(events: DataFrame, rows_per_key: int) -> DataFrame:
-    """Relations too long for one task; the test size grows so that few can pass it."""
+def _hot_relations(events: DataFrame, rows_per_key: int, total: int) -> DataFrame:
+    """Relations too long for one task, numbered; the test size grows with ``total`` rows so that few can pass it."""
     counts = events.groupBy(*RELATION).agg(F.count("*").alias("_rows"))
-    floor = F.greatest(F.lit(rows_per_key), (counts.agg(F.sum("_rows")).scalar() / HOT_KEY_LIMIT))
-    return counts.filter(F.col("_rows") > floor).select(*RELATION)
+    hot = counts.filter(F.col("_rows") > max(rows_per_key, total / HOT_KEY_LIMIT)).select(*RELATION)
+    # Numbers depend on the partitions, so they are written before anything reads them.
+    return materialize(hot.withColumn(NUMBER, F.monotonically_increasing_id()), "hot")
 
 
 def _chunk_carry(rows: DataFrame) -> DataFrame:
     """What a chunk must know of its relation's earlier chunks. One row per chunk and relation."""
-    by_window = rows.groupBy(*RELATION, CHUNK, "window_id").agg(
+    by_window = rows.groupBy(NUMBER, CHUNK, "window_id").agg(
         F.count("*").alias("_c"), F.min("timestamp").alias("_lo"), F.max("timestamp").alias("_hi")
     )
-    earlier = W.partitionBy(*RELATION, "window_id").orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*RELATION).orderBy("window_id").rangeBetween(-1, -1)
+    earlier = W.partitionBy(NUMBER, "window_id").orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(NUMBER).orderBy("window_id").rangeBetween(-1, -1)
     marked = by_window.withColumn(
         "_same_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0))
     ).withColumn("_prev_total", F.coalesce(F.sum("_c").over(whole), F.lit(0)))
-    per_chunk = marked.groupBy(*RELATION, CHUNK).agg(
+    per_chunk = marked.groupBy(NUMBER, CHUNK).agg(
         F.sum("_c").alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
         F.min(F.struct("window_id", "_same_before", "_prev_total")).alias("_w"),
     )
-    chain = W.partitionBy(*RELATION).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    chain = W.partitionBy(NUMBER).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     return per_chunk.select(
-        *RELATION, CHUNK,
+        NUMBER, CHUNK,
         F.coalesce(F.sum("_c").over(chain), F.lit(0)).alias("_c_before"),
         F.max("_hi").over(chain).alias("_hi_before"),
         F.min("_lo").over(chain).alias("_lo_before"),
@@ -180,11 +184,11 @@ def _chunk_carry(rows: DataFrame) -> DataFrame:
 
 
 def _recency_in_chunks(rows: DataFrame, columns: list[str], partitions: int | None) -> DataFrame:
-    """Recency of long relations: each is cut into sorted chunks that run in parallel."""
-    cut = chunked(rows, [*RELATION, "timestamp", "edge_id"], partitions)
-    local = _local(cut, [CHUNK, *RELATION], ["window_id", POSITION])
+    """Recency of long relations, given with their ``NUMBER``: each is cut into sorted chunks that run in parallel."""
+    cut = chunked(rows, [NUMBER, "timestamp", "edge_id"], partitions)
+    local = _local(cut, [CHUNK, NUMBER], ["window_id", POSITION])
     # One row per chunk plus one per hot relation, of which there are HOT_KEY_LIMIT at most.
-    joined = local.join(F.broadcast(_chunk_carry(cut)), [CHUNK, *RELATION])
+    joined = local.join(F.broadcast(_chunk_carry(cut)), [CHUNK, NUMBER])
     zero = F.lit(0).cast("bigint")
     recent = (
         F.col("_recent")
@@ -212,14 +216,14 @@ def relationship_recency(
     require_columns(events, [*RELATION, "window_id", "timestamp", "edge_id"], "events")
     columns = events.columns
     plain = lambda rows: _finish(_local(rows, RELATION, ["window_id", "timestamp", "edge_id"]), columns)
-    if events.count() <= rows_per_key:
+    total = events.count()
+    if total <= rows_per_key:
         return plain(events)
-    hot = _hot_relations(events, rows_per_key).persist()
+    hot = _hot_relations(events, rows_per_key, total)
     if hot.isEmpty():
-        hot.unpersist()
         return plain(events)
     same = [events[c].eqNullSafe(hot[c]) for c in RELATION]
     # At most HOT_KEY_LIMIT rows.
     cold_rows = events.join(F.broadcast(hot), same, "left_anti")
-    hot_rows = events.join(F.broadcast(hot), same, "left_semi")
+    hot_rows = events.join(F.broadcast(hot), same).select(*[events[c] for c in columns], NUMBER)
     return plain(cold_rows).unionByName(_recency_in_chunks(hot_rows, columns, partitions))

@@ -202,8 +202,10 @@ def strong_components(spark, sf_dir):
 
 @query("strong_component_summary", _component_sql(_STRONG, _summary_of("strong")))
 def strong_component_summary(spark, sf_dir):
-    found = components.strong_components(*_graph(spark, sf_dir))
-    out = components.component_summary(found, "strong")
+    # Enrichment and components read four columns of the edges.
+    edges = testbed.narrow_edges(spark, sf_dir, ["source_node_id", "destination_node_id", "timestamp", "label"])
+    nodes = graph.enrich_nodes(testbed.nodes(spark, sf_dir), edges)
+    out = components.component_summary(components.strong_components(nodes, edges), "strong")
     return out.selectExpr(
         "kind", "component_count", "largest_component_size", "smallest_component_size",
         "round(largest_component_ratio, 6) largest_component_ratio",

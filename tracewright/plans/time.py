@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracewright.operators import leakage, temporal
 from tracewright.plans.reference_sql import cte, sql
 from tracewright.plans.registry import query
+from tracewright.session import materialize
 from tracewright.sources import testbed
 
 cte("origin", 'SELECT min("timestamp") AS start FROM edge_table')
@@ -125,5 +126,8 @@ def relationship_recency(spark, sf_dir):
 @query("relationship_recency_in_chunks", RECENCY_SQL)
 def relationship_recency_in_chunks(spark, sf_dir):
     """The same features with every relation beyond ten rows on the way for hot relations."""
-    rows = _split(spark, sf_dir)[0]
-    return temporal.relationship_recency(rows, rows_per_key=10).selectExpr(RECENCY_COLUMNS)
+    keys = [c for c in temporal.RELATION if c != "split"]
+    edges = testbed.narrow_edges(spark, sf_dir, ["edge_id", "timestamp", *keys, "event_family", "event_result", "source_file"])
+    # What recency reads, written once: its passes would each look for ground truth in all rows again.
+    rows = temporal.temporal_split(edges)[0].select(*temporal.RELATION, "window_id", "timestamp", "edge_id")
+    return temporal.relationship_recency(materialize(rows, "ordinary"), rows_per_key=10).selectExpr(RECENCY_COLUMNS)
